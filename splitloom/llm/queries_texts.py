@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitloom.llm.leak_search import find_leaks
+from splitloom.llm.subject_models import subject_areas
+from splitloom.llm.token_packing import pack_documents
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -26,5 +28,36 @@ def p7_item_report(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "eval_items").select("item_id", "kind").join(n, "item_id", "left").fillna(0, ["n_docs"])
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_item_report)}
-SQL: dict[str, str] = {}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(_table(spark, d, "documents")).where("item_tokens > 2048").select("doc_id").distinct()
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(_table(spark, d, "documents"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens, and the share of the containers' room that is used."""
+    c = pack_documents(_table(spark, d, "documents")).groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.sum("segments").alias("segments"))
+    return c.agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.max("segments").alias("most_segments"), (F.sum("n") / (F.count(F.lit(1)) * 2048)).alias("used"))
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas(_table(spark, d, "documents"), _table(spark, d, "subject_labels"), _table(spark, d, "subject_areas"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each subject and their share of all documents; documents of several subjects count for each."""
+    docs = _table(spark, d, "documents").agg(F.count_distinct("doc_id").alias("_all"))
+    n = _subjects(spark, d).groupBy("subject").agg(F.count_distinct("doc_id").alias("n_docs"), F.sum("mass").alias("words"))
+    return n.crossJoin(F.broadcast(docs)).select("subject", "n_docs", "words", (F.col("n_docs") / F.col("_all")).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_containers, p6_fill, p7_found, p7_item_report, p8_found, p8_composition)}
+SQL = {
+    "p6_found": r"""SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+')) > 2048""",
+}
