@@ -82,7 +82,7 @@ def from_components(ds: SplitDataset) -> tuple[SplitDataset, DataFrame]:
     one = F.coalesce(F.col("weights"), F.array(F.lit(1.0)))
     rows = ds.records.join(comp, "id").select(F.col("component_id").cast("string").alias("component"), F.struct("id", *ds.fields, F.aggregate(one, F.lit(0.0), lambda s, x: s + x).alias("_w")).alias("m"))
     grouped = rows.groupBy("component").agg(F.array_sort(F.collect_list("m")).alias("m"))
-    records = grouped.select(F.col("component").alias("id"), *[F.transform("m", lambda x, f=f: x[f]).alias(f) for f in ds.fields], F.array("component").alias("component"), F.transform("m", lambda x: x["_w"]).alias("weights"))
+    records = grouped.select(F.col("component").alias("id"), *[F.col("m").getField(f).alias(f) for f in ds.fields], F.array("component").alias("component"), F.col("m").getField("_w").alias("weights"))
     return replace(ds, records=records, fields=(*ds.fields, "component"), factors=("component",)), member
 
 

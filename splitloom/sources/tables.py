@@ -14,7 +14,7 @@ from splitloom.operators.dataset import SplitDataset
 
 def multi_value(cell, kind: str):
     """The distinct values of a comma-separated cell, cast; empty parts and parts that cannot be cast are dropped."""
-    parts = F.transform(F.split(cell, ","), F.trim)
+    parts = F.transform(F.split(cell, ","), lambda x: F.trim(x))
     cast = F.transform(F.filter(parts, lambda x: x != ""), lambda x: x.try_cast(kind))
     return F.coalesce(F.array_distinct(F.filter(cast, lambda x: x.isNotNull())), F.array().cast(f"array<{kind}>"))
 
