@@ -144,7 +144,7 @@ def cosine_edges(vectors: DataFrame, thresh: float, dims: int = 3) -> DataFrame:
     r = math.sqrt(max(2 - 2 * thresh, 1e-12))
     unit = vectors.groupBy("vector").agg(F.min("id").alias("id")).where(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x) > 0)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    unit = unit.select("id", F.transform("vector", lambda x: x / norm).alias("u"))
+    unit = unit.select("id", F.transform("vector", lambda x: F.try_divide(x.cast("double"), norm)).alias("u"))
     cell = [F.floor(F.coalesce(F.get("u", F.lit(i)), F.lit(0.0)) / F.lit(r)).alias(f"c{i}") for i in range(dims)]
     placed = unit.select("id", "u", *cell)
     near = placed.select(F.col("id").alias("src"), F.col("u").alias("u1"), *[f"c{i}" for i in range(dims)])

@@ -132,7 +132,7 @@ def minimum_node_cut(graph: dict[str, set[str]], s: str, t: str) -> set[str]:
         while todo:
             v, side = todo.popleft()
             if side:  # at the out-side: along edges, or back through the vertex
-                steps = [(w, 0) for w in graph[v] if not flow[v].get(w)]
+                steps = [(w, 0) for w in graph[v]]
                 if v in used:
                     steps.append((v, 0))
             else:  # at the in-side: through the vertex, or back along flow that enters it
@@ -155,9 +155,9 @@ def minimum_node_cut(graph: dict[str, set[str]], s: str, t: str) -> set[str]:
         while came[x] is not None:
             (v, a), (w, b) = came[x], x
             if a == 1 and b == 0 and v != w:
-                flow[v][w] = 1
+                flow[v][w] = flow[v].get(w, 0) + 1
             elif a == 0 and b == 1 and v != w:
-                flow[w][v] = 0
+                flow[w][v] -= 1
             elif a == 0 and b == 1:
                 used.add(v)
             else:

@@ -89,7 +89,8 @@ def parse_lines(lines: DataFrame, specs: dict[str, FileSpec] = SPECS) -> DataFra
     Reasons, in this order: ``unknown_file`` (no such ``file_name``, or null), ``quoting``, ``column_count``,
     ``value``. Blanks, tabs and line breaks at the very end of a line belong to no cell. A null line counts as
     an empty one and fails by its column count. Cells of a line with bad quoting or a wrong number of
-    columns are not judged further. Other columns of the input are kept; names beginning with ``_`` are used inside.
+    columns are not judged further. Other columns of the input are kept, but for ``cells`` and ``errors``,
+    which are replaced; names beginning with ``_`` are used inside.
     """
     keep = max((len(s.columns) for s in specs.values()), default=1)
     rows = lines.withColumn("_line", F.rtrim(F.coalesce("raw_line", F.lit("")), F.lit(" \t\r\n"))).withColumn("_parsed", _cells("_line", keep))
@@ -123,7 +124,7 @@ def parse_lines(lines: DataFrame, specs: dict[str, FileSpec] = SPECS) -> DataFra
 
 def failed_lines(lines: DataFrame, specs: dict[str, FileSpec] = SPECS) -> DataFrame:
     """``line_id, file_name, reason, details, raw_line``: one row per failing line with its first reason."""
-    bad = parse_lines(lines, specs).where(F.size("errors") > 0)
+    bad = parse_lines(lines.select("line_id", "file_name", "raw_line"), specs).where(F.size("errors") > 0)
     return bad.select("line_id", "file_name", F.col("errors")[0]["reason"].alias("reason"), F.transform("errors", lambda e: e["detail"]).alias("details"), "raw_line")
 
 
@@ -134,7 +135,7 @@ def load_lines(lines: DataFrame, file_name: str, specs: dict[str, FileSpec] = SP
     list); numeric columns become ``array<double>``. A line sent twice gives two rows, told apart by ``line_id``.
     """
     spec = specs[file_name]
-    good = parse_lines(lines.where(F.col("file_name") == file_name), specs).where(F.size("errors") == 0)
+    good = parse_lines(lines.select("line_id", "file_name", "raw_line").where(F.col("file_name") == file_name), specs).where(F.size("errors") == 0)
     out = [F.col("line_id")]
     for c in spec.columns:
         cell = F.col(f"cells.{c}")
