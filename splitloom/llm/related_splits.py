@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitloom.functions.ids import spelled_number, spelled_numbers
-from splitloom.workspace import Workspace, join_per_key
+from splitloom.workspace import Workspace, join_per_key, size_measures
 
 #: Bits that hold a number; the kind of vertex stands above them. Speakers come first, so a component's
 #: smallest vertex is its smallest speaker, if it has one.
@@ -14,10 +14,6 @@ _SHIFT = 1 << 60
 SPEAKER, AUTHOR, CHAPTER = 0, 1, 2
 
 
-def _mark(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0))).first())
-
-
 def hash_to_min(edges: DataFrame, ws: Workspace | None = None, max_rounds: int = 64) -> DataFrame:
     """``(id, component)`` for every vertex of ``edges(src, dst)``; the component is its smallest vertex.
 
@@ -33,19 +29,17 @@ def hash_to_min(edges: DataFrame, ws: Workspace | None = None, max_rounds: int =
     pairs = pairs.union(pairs.select("u", "v"))
     own = pairs.select("v", F.col("v").alias("u"))
     cur = ws.write(pairs.union(own).distinct())
-    mark = _mark(cur)
     for _ in range(max_rounds):
-        low = ws.write(cur.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")))
-        sent = join_per_key(cur, low.select("v", "m"), "v", low.select("v", "n"))
+        # nothing changes any more when every cluster is a single vertex or that of its own minimum
+        open_ = F.count_if((F.col("v") != F.col("m")) & (F.col("n") > 1))
+        low, measured = ws.write_with(cur.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")), **size_measures(), open=open_)
+        if not measured["open"]:
+            return low.select(F.col("v").alias("id"), F.col("m").alias("component"))
+        sent = join_per_key(cur, low.select("v", "m"), "v", low.select("v", "n"), measured=measured)
         out = sent.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("p")).select("p.v", "p.u")
         new = ws.write(out.distinct())
-        now = _mark(new)
-        ws.drop(cur)
-        if now == mark:
-            ws.drop(new)
-            return low.select(F.col("v").alias("id"), F.col("m").alias("component"))
-        ws.drop(low)
-        cur, mark = new, now
+        ws.drop(cur, low)
+        cur = new
     raise RuntimeError(f"no fixed point in {max_rounds} rounds")
 
 
