@@ -14,6 +14,7 @@ from splitloom.workspace import Workspace
 
 #: Items packed together by one task. A group leaves about one container part empty, so its size bounds the loss.
 GROUP_ITEMS = 20_000
+MOST_PARTITIONS = 10_000
 
 _classes: list[np.ndarray] = []
 
@@ -125,7 +126,9 @@ def pack(items: DataFrame, limits: dict[str, int], group_items: int = GROUP_ITEM
         pdf.insert(0, "container_id", key[0] * (1 << 32) + number)
         return pdf
 
-    return items.withColumn("_group", F.pmod(F.xxhash64(*items.columns), F.lit(groups))).groupBy("_group").applyInPandas(one, schema)
+    # rows are small and the work on them is not: partitions are counted by groups, not by bytes
+    spread = items.withColumn("_group", F.pmod(F.xxhash64(*items.columns), F.lit(groups))).repartition(min(groups, MOST_PARTITIONS), "_group")
+    return spread.groupBy("_group").applyInPandas(one, schema)
 
 
 def pack_documents(documents: DataFrame, capacity: int = 2048, segments: int = 256) -> DataFrame:
