@@ -89,7 +89,10 @@ def index_bits(values: DataFrame, cand_id: int, n: int, index: int) -> DataFrame
 
 
 def bit_strings(bits: DataFrame, values: DataFrame) -> DataFrame:
-    """``(cand_id, n, bits)``: the digits of each factor over its sorted values as text, of any length."""
+    """``(cand_id, n, bits)``: the digits of each factor over its sorted values as text.
+
+    A text has as many digits as the factor has values, by definition; where that is too long, work with ``bits``.
+    """
     placed = bits.join(values.select("n", "value", "pos"), ["n", "value"])
     return placed.groupBy("cand_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "bit"))).alias("b")).select("cand_id", "n", F.array_join(F.transform("b", lambda x: F.when(x["bit"], "1").otherwise("0")), "").alias("bits"))
 

@@ -101,12 +101,8 @@ def _divergence(p: Column, q: Column, direction: str) -> Column:
     raise ValueError(f"unknown direction {direction}")
 
 
-def distributions(ds: SplitDataset, n: int, members: DataFrame, cands: DataFrame, smooth: float, vocab: list | None = None) -> DataFrame:
-    """``(cand_id, value, p0, p1)``: smoothed shares of every vocabulary value on both sides of every candidate.
-
-    p = (sum of weights + smooth) / (total + smooth x values). The vocabulary is that of the whole dataset unless
-    given, and never grows; values outside it are ignored.
-    """
+def _value_sums(ds: SplitDataset, n: int, members: DataFrame, vocab: list | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The vocabulary, the weights of its values on both sides ``(cand_id, value, w0, w1)``, and ``(cand_id, t0, t1)`` over all values."""
     rows = ds.constraint_rows(n).select("id", F.col("value"), (F.col("weight") if ds.weighting == "weighted" else F.lit(1.0)).alias("w"))
     if vocab is not None:
         words = ds.records.sparkSession.createDataFrame([(v,) for v in vocab], T.StructType([T.StructField("value", rows.schema["value"].dataType)]))
@@ -114,32 +110,46 @@ def distributions(ds: SplitDataset, n: int, members: DataFrame, cands: DataFrame
         words = ds.vocabulary(n)
     words = words.distinct()
     sums = members.join(rows, "id").join(words, "value", "left_semi").groupBy("cand_id", "value").agg(F.sum(F.when(F.col("side") == 0, F.col("w"))).alias("w0"), F.sum(F.when(F.col("side") == 1, F.col("w"))).alias("w1"))
-    total = sums.groupBy("cand_id").agg(F.sum("w0").alias("t0"), F.sum("w1").alias("t1"))
+    return words, sums, sums.groupBy("cand_id").agg(F.sum("w0").alias("t0"), F.sum("w1").alias("t1"))
+
+
+def _share(s: int) -> Column:
+    """(sum of weights + smooth) / (total + smooth x values) of a side, from w, t, k and smooth."""
+    return (F.coalesce(f"w{s}", F.lit(0.0)) + F.col("smooth")) / (F.coalesce(f"t{s}", F.lit(0.0)) + F.col("smooth") * F.col("k"))
+
+
+def distributions(ds: SplitDataset, n: int, members: DataFrame, cands: DataFrame, smooth: float, vocab: list | None = None) -> DataFrame:
+    """``(cand_id, value, p0, p1)``: smoothed shares of every vocabulary value on both sides of every candidate.
+
+    p = (sum of weights + smooth) / (total + smooth x values). The vocabulary is that of the whole dataset unless
+    given, and never grows; values outside it are ignored.
+    """
+    words, sums, total = _value_sums(ds, n, members, vocab)
     size = words.agg(F.count(F.lit(1)).alias("k"))
     # every candidate meets every value of a fixed vocabulary: the result has that size by definition
     grid = cands.select("cand_id").crossJoin(words)
-    full = grid.join(sums, ["cand_id", "value"], "left").join(total, "cand_id", "left").crossJoin(F.broadcast(size))
-
-    def share(s: int) -> Column:
-        return (F.coalesce(f"w{s}", F.lit(0.0)) + F.lit(smooth)) / (F.coalesce(f"t{s}", F.lit(0.0)) + F.lit(smooth) * F.col("k"))
-
-    return full.select("cand_id", "value", share(0).alias("p0"), share(1).alias("p1"))
+    full = grid.join(sums, ["cand_id", "value"], "left").join(total, "cand_id", "left").crossJoin(F.broadcast(size)).withColumn("smooth", F.lit(smooth))
+    return full.select("cand_id", "value", _share(0).alias("p0"), _share(1).alias("p1"))
 
 
 def _kl_scores(ds: SplitDataset, n: int, spec: ConstraintSpec, members: DataFrame, cands: DataFrame) -> DataFrame:
     v = spec.values or {}
-    dist = distributions(ds, n, members, cands, float(v.get("smooth", 1e-6)), v.get("vocab"))
-    direction = v.get("direction", "forward")
-    if spec.name == "kl":
-        cost = F.sum(_divergence(F.col("p0"), F.col("p1"), direction))
-    else:
+    direction, smooth = v.get("direction", "forward"), float(v.get("smooth", 1e-6))
+    if spec.name == "kl_tuple":
         if not v.get("vocab"):
             raise ValueError("kl_tuple needs a vocabulary")
-        kind = dist.schema["value"].dataType
-        target = ds.records.sparkSession.createDataFrame([(w, float(a), float(b)) for w, a, b in zip(v["vocab"], *v["dist"])], T.StructType([T.StructField("value", kind), T.StructField("q0", T.DoubleType()), T.StructField("q1", T.DoubleType())]))
-        dist = dist.join(F.broadcast(target), "value")
-        cost = F.sum(_divergence(F.col("q0"), F.col("p0"), direction) + _divergence(F.col("q1"), F.col("p1"), direction))
-    return dist.groupBy("cand_id").agg(cost.alias("score"))
+        dist = distributions(ds, n, members, cands, smooth, v["vocab"])
+        target = ds.records.sparkSession.createDataFrame([(w, float(a), float(b)) for w, a, b in zip(v["vocab"], *v["dist"])], T.StructType([T.StructField("value", dist.schema["value"].dataType), T.StructField("q0", T.DoubleType()), T.StructField("q1", T.DoubleType())]))
+        cost = _divergence(F.col("q0"), F.col("p0"), direction) + _divergence(F.col("q1"), F.col("p1"), direction)
+        return dist.join(F.broadcast(target), "value").groupBy("cand_id").agg(F.sum(cost).alias("score"))
+    # values that a candidate has on neither side all have the same shares: they are counted, not listed
+    words, sums, total = _value_sums(ds, n, members, v.get("vocab"))
+    size = words.agg(F.count(F.lit(1)).alias("k"))
+    seen = sums.join(total, "cand_id").crossJoin(F.broadcast(size)).withColumn("smooth", F.lit(smooth))
+    per = seen.groupBy("cand_id").agg(F.sum(_divergence(_share(0), _share(1), direction)).alias("_seen"), F.count(F.lit(1)).alias("_n"), F.first("t0").alias("t0"), F.first("t1").alias("t1"), F.first("k").alias("k"))
+    rest = per.withColumns({"w0": F.lit(0.0), "w1": F.lit(0.0), "smooth": F.lit(smooth)})
+    unseen = F.when(F.col("k") > F.col("_n"), (F.col("k") - F.col("_n")) * _divergence(_share(0), _share(1), direction)).otherwise(0.0)
+    return rest.select("cand_id", (F.col("_seen") + unseen).alias("score"))
 
 
 def entropy_stats(ds: SplitDataset, n: int, members: DataFrame) -> DataFrame:

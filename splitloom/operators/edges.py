@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splitloom.operators.dataset import SplitDataset, flat_values
-from splitloom.workspace import Workspace
+from splitloom.workspace import Workspace, join_per_key, size_measures
 
 
 def classes(ds: SplitDataset) -> DataFrame:
@@ -58,18 +58,37 @@ def pooled_edges(reps: DataFrame, fields: tuple[str, ...], weight: float = 1.0)
     return shared_value_edges(reps.select("class_id", pool.alias("pool")), ("pool",), (weight,))
 
 
-def record_links(ds: SplitDataset) -> DataFrame:
-    """``(id, class_id, n_links)``: one row per record with the number of other records that share a value with it."""
+def _tagged(n: int):
+    return lambda x: F.concat(F.lit(f"{n}:"), x.cast("string"))
+
+
+def record_links(ds: SplitDataset, max_values: int = 10) -> DataFrame:
+    """``(id, class_id, n_links)``: one row per record with the number of other records that share a value with it.
+
+    No pairs are formed, however many records hold a value: the records that share one of k values with a
+    class are counted by inclusion and exclusion over the 2^k - 1 sets of its values, each counted once for all classes. Classes
+    of more than ``max_values`` values (all factors together) would need too many sets; data that has any is counted over
+    class pairs. A record without values has no links.
+    """
     ws = Workspace(ds.records.sparkSession, "links")
     member = ws.write(classes(ds).select("id", "class_id", "class_size"))
-    reps = ws.write(class_representatives(ds))
-    edges = shared_value_edges(reps, ds.factors)
-    both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    other = both.join(reps.select(F.col("class_id").alias("dst"), "class_size"), "dst").groupBy(F.col("src").alias("class_id")).agg(F.sum("class_size").alias("_other"))
-    # records without any value in any factor share nothing, not even with their copies
-    some = reps.select("class_id", F.expr(" OR ".join(f"size({f}) > 0" for f in ds.factors)).alias("_some"))
-    out = member.join(other, "class_id", "left").join(some, "class_id")
-    return out.select("id", "class_id", F.when(F.col("_some"), F.col("class_size") - 1 + F.coalesce("_other", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"))
+    tags = F.concat(*[F.transform(f, _tagged(n)) for n, f in enumerate(ds.factors)])
+    reps, seen = ws.write_with(class_representatives(ds).select("class_id", "class_size", tags.alias("tags"), *ds.factors), most=F.coalesce(F.max(F.size("tags")), F.lit(0)))
+    if seen["most"] > max_values:
+        edges = shared_value_edges(reps, ds.factors)
+        both = edges.select("src", "dst").union(edges.select("dst", "src"))
+        near = both.join(reps.select(F.col("class_id").alias("dst"), F.col("class_size").alias("n")), "dst").groupBy(F.col("src").alias("class_id")).agg(F.sum("n").alias("_near"))
+        near = reps.where("size(tags) > 0").join(near, "class_id", "left").select("class_id", (F.col("class_size") - 1 + F.coalesce("_near", F.lit(0))).alias("_links"))
+    else:
+        choice = F.explode(F.expr("sequence(1L, shiftleft(1L, size(tags)) - 1)"))
+        sets = reps.where("size(tags) > 0").withColumn("c", choice)
+        picked = F.filter("tags", lambda x, i: F.call_function("shiftright", F.col("c"), i.cast("int")).bitwiseAND(F.lit(1)) == 1)
+        sets = ws.write(sets.select("class_id", "class_size", F.to_json(F.struct(picked.alias("s"))).alias("s"), F.when(F.bit_count("c") % 2 == 1, 1).otherwise(-1).alias("sign")))
+        held, measured = ws.write_with(sets.groupBy("s").agg(F.sum("class_size").alias("held"), F.count(F.lit(1)).alias("n")), **size_measures())
+        near = join_per_key(sets, held.select("s", "held"), "s", held.select("s", "n"), measured=measured).groupBy("class_id").agg((F.sum(F.col("sign") * F.col("held")) - 1).alias("_links"))
+    sizes = member.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    out = join_per_key(member.select("id", "class_id"), near, "class_id", sizes, how="left")
+    return out.select("id", "class_id", F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def equal_value_classes(ds: SplitDataset, field: str) -> DataFrame:

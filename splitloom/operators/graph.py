@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from splitloom.operators.components import components
 from splitloom.operators.dataset import SplitDataset, dense_index
-from splitloom.operators.edges import class_representatives, classes, shared_value_edges
+from splitloom.operators.edges import class_representatives, classes, record_links, shared_value_edges
 from splitloom.workspace import Workspace
 
 
@@ -52,15 +52,9 @@ def record_components(ds: SplitDataset, numbered: bool = True) -> DataFrame:
 
 
 def is_complete(ds: SplitDataset) -> DataFrame:
-    """``(n_records, n_pairs, is_complete)``: whether every two records share a value; counts linked pairs over classes of equal records."""
-    ws = Workspace(ds.records.sparkSession, "complete")
-    reps = ws.write(class_representatives(ds))
-    n = reps.agg(F.coalesce(F.sum("class_size"), F.lit(0)).alias("n_records"))
-    inside = reps.where(" OR ".join(f"size({f}) > 0" for f in ds.factors)).agg(F.coalesce(F.sum(F.expr("class_size * (class_size - 1) div 2")), F.lit(0)).alias("a"))
-    e = shared_value_edges(reps, ds.factors)
-    size = reps.select("class_id", "class_size")
-    across = e.join(size.toDF("src", "s1"), "src").join(size.toDF("dst", "s2"), "dst").agg(F.coalesce(F.sum(F.col("s1") * F.col("s2")), F.lit(0)).alias("b"))
-    return n.crossJoin(inside).crossJoin(across).select("n_records", (F.col("a") + F.col("b")).cast("bigint").alias("n_pairs"), (F.col("a") + F.col("b") == F.expr("n_records * (n_records - 1) div 2")).alias("is_complete"))
+    """``(n_records, n_pairs, is_complete)``: whether every two records share a value; linked pairs are counted, not formed."""
+    links = record_links(ds).agg(F.count(F.lit(1)).alias("n_records"), F.expr("coalesce(sum(n_links), 0) div 2").cast("bigint").alias("n_pairs"))
+    return links.withColumn("is_complete", F.col("n_pairs") == F.expr("n_records * (n_records - 1) div 2"))
 
 
 def component_summary(ds: SplitDataset) -> DataFrame:

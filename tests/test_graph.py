@@ -51,6 +51,16 @@ def test_links_and_classes(spark):
         shared_value_edges(class_representatives(ds), ("v",), max_holders=1)
 
 
+def test_links_with_hot_values_and_without_pairs(spark):
+    rng = random.Random(8)
+    rows = [(f"{i:03d}", [rng.choice("aaab"), rng.choice("cdefgh")][: rng.randrange(3)], [str(rng.randrange(4))] if rng.random() < 0.9 else None) for i in range(200)]
+    ds = SplitDataset(records(spark, rows, "f", "g"), ("f", "g"), ("f", "g"))
+    tags = {i: {("f", x) for x in f or []} | {("g", x) for x in g or []} for i, f, g in rows}
+    want = {i: sum(1 for j in tags if j != i and tags[i] & tags[j]) for i in tags}
+    assert {r["id"]: r["n_links"] for r in record_links(ds).collect()} == want
+    assert {r["id"]: r["n_links"] for r in record_links(ds, max_values=1).collect()} == want
+
+
 def test_completeness(spark):
     ds = SplitDataset(records(spark, [("a", ["x"]), ("b", ["x", "y"]), ("c", ["y", "x"])], "v"), ("v",), ("v",))
     assert tuple(gr.is_complete(ds).first()) == (3, 3, True)
