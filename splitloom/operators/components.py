@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitloom.workspace import Workspace, join_per_key
+from splitloom.workspace import Workspace, join_per_key, size_measures
 
 
-def _fingerprint(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0))).first())
+def _star(arcs: DataFrame, ws: Workspace) -> tuple[DataFrame, bool, DataFrame]:
+    """``arcs`` with the smallest of a vertex and its neighbours in ``arcs`` (``src`` to ``dst``) as ``m``, whether the arcs are stars, and the table of minima.
 
-
-def _star(arcs: DataFrame, ws: Workspace) -> DataFrame:
-    """``arcs`` with the smallest of a vertex and its neighbours in ``arcs`` (``src`` to ``dst``) as ``m``."""
-    low = ws.write(arcs.groupBy("src").agg(F.least(F.first("src"), F.min("dst")).alias("m"), F.count(F.lit(1)).alias("n")))
-    return join_per_key(arcs, low.select("src", "m"), "src", low.select("src", "n"))
+    They are stars when no vertex has two smaller neighbours, or smaller and larger ones.
+    """
+    low = arcs.groupBy("src").agg(F.least(F.first("src"), F.min("dst")).alias("m"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("dst") < F.col("src")).alias("down"))
+    open_ = F.count_if((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("n") > 1)))
+    low, measured = ws.write_with(low, **size_measures(), open=open_)
+    return join_per_key(arcs, low.select("src", "m"), "src", low.select("src", "n"), measured=measured), not measured["open"], low
 
 
 def components(edges: DataFrame, ws: Workspace | None = None, max_rounds: int = 64) -> DataFrame:
@@ -30,19 +31,15 @@ def components(edges: DataFrame, ws: Workspace | None = None, max_rounds: int =
     edges = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     verts = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
     cur = ws.write(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    mark = _fingerprint(cur)
-    if mark[0] == 0:
-        return verts.distinct().withColumn("component", F.col("id"))
     for _ in range(max_rounds):
-        both = cur.union(cur.select("dst", "src"))
-        large = ws.write(_star(both, ws).where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct())
-        stars = _star(large, ws)
-        small = stars.select(F.greatest("dst", "m").alias("src"), F.least("dst", "m").alias("dst")).union(stars.select("src", F.col("m").alias("dst")))
-        new = ws.write(small.where("src <> dst").distinct())
-        ws.drop(large, cur)
-        cur, now = new, _fingerprint(new)
-        if now == mark:
+        reached, done, low = _star(cur.union(cur.select("dst", "src")), ws)
+        if done:
             roots = cur.select(F.col("src").alias("id"), F.col("dst").alias("component"))
             return verts.distinct().join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        mark = now
-    raise RuntimeError(f"no fixed point in {max_rounds} rounds")
+        large = ws.write(reached.where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct())
+        stars, _, low2 = _star(large, ws)
+        small = stars.select(F.greatest("dst", "m").alias("src"), F.least("dst", "m").alias("dst")).union(stars.select("src", F.col("m").alias("dst")))
+        new = ws.write(small.where("src <> dst").distinct())
+        ws.drop(large, cur, low, low2)
+        cur = new
+    raise RuntimeError(f"no stars after {max_rounds} rounds")
