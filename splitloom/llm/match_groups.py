@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from splitloom.functions.ids import spelled_numbers
 from splitloom.operators.components import components
-from splitloom.workspace import Workspace, join_per_key
+from splitloom.workspace import Workspace, join_per_key, size_measures
 
 #: The last code point: a speaker's vertex sorts behind every record id.
 _LAST = "\U0010ffff"
@@ -34,47 +34,54 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 def _strip(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame, int]:
     """Edges without their degree-one vertices, and ``(v, parent)`` for these. Of an edge that stands alone the larger end goes."""
-    deg = ws.write(_degrees(edges))
-    ones = deg.where("deg = 1").select("v", F.col("a").alias("parent"))
-    twin = ones.select(F.col("v").alias("parent"), F.lit(True).alias("_alone"))
-    hang = ws.write(join_per_key(ones, twin, "parent", how="left").where("_alone IS NULL OR v > parent").select("v", "parent"))
-    n = hang.count()
+    ones = _degrees(edges).where("deg = 1").select("v", F.greatest("v", "a").alias("src"), F.least("v", "a").alias("dst"))
+    # an edge is met from both of its ends when it stands alone
+    hang = ones.groupBy("src", "dst").agg(F.max("v").alias("v")).select("v", F.when(F.col("v") == F.col("src"), F.col("dst")).otherwise(F.col("src")).alias("parent"))
+    hang, seen = ws.write_with(hang, n=F.count(F.lit(1)))
+    n = seen["n"]
     if not n:
         return edges, hang, 0
     return ws.write(_without(edges, hang)), hang, n
 
 
-def _compress(edges: DataFrame, ws: Workspace, max_doublings: int = 48) -> tuple[DataFrame, DataFrame, int]:
+def _compress(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame, int]:
     """Edges with every chain of degree-two vertices replaced by one edge between its ends, and ``(v, parent)`` for the chain.
 
     Each chain vertex holds two pointers, one away from each neighbour. Doubling replaces a pointer to a chain
-    vertex by that vertex's pointer onwards, so after k rounds it has passed 2**k vertices. Pointers on a
-    cycle without end never leave it: once 2**k exceeds the number of chain vertices, such vertices stay for the core.
+    vertex by that vertex's pointer onwards, so after k rounds it has passed 2**k vertices, and while any chain is
+    unfinished some of its pointers arrive in each round. Pointers on a cycle never do: when none arrives, those
+    that are left are on cycles, and their vertices stay for the core.
     """
     deg = _degrees(edges)
-    two = ws.write(deg.where("deg = 2").select("v", "a", "b"))
-    n = two.count()
+    two, seen = ws.write_with(deg.where("deg = 2").select("v", "a", "b"), n=F.count(F.lit(1)))
+    n = seen["n"]
     if not n:
         return edges, two.select("v", F.col("a").alias("parent")), 0
     way = F.explode(F.array(F.struct(F.col("a").alias("frm"), F.col("b").alias("to")), F.struct(F.col("b").alias("frm"), F.col("a").alias("to"))))
     start = two.select("v", way.alias("w")).select("v", "w.frm", "w.to", F.col("v").alias("via"))
     # a pointer goes on where it stands on a chain vertex, entered from via; the chain's ends have other degrees
-    cur = ws.write(start.join(two.select(F.col("v").alias("to"), F.lit(True).alias("_on")), "to", "left").select("v", "frm", "to", "via", F.coalesce("_on", F.lit(False)).alias("more")))
-    for k in range(max_doublings):
-        if 2**k > 2 * n or not cur.where("more").limit(1).count():
-            break
+    going = {"more": F.count_if(F.col("more"))}
+    on = two.select(F.col("v").alias("to"), F.lit(True).alias("_on"))
+    cur, seen = ws.write_with(join_per_key(start, on, "to", how="left").select("v", "frm", "to", "via", F.coalesce("_on", F.lit(False)).alias("more")), **going)
+    left = seen["more"]
+    while left:
         onward = cur.select(F.col("v").alias("to"), F.col("frm").alias("via"), F.col("to").alias("to2"), F.col("via").alias("via2"), F.col("more").alias("more2"))
         moved = cur.where("more").join(onward, ["to", "via"]).select("v", "frm", F.col("to2").alias("to"), F.col("via2").alias("via"), F.col("more2").alias("more"))
-        new = ws.write(cur.where("NOT more").select(*cur.columns).union(moved.select(*cur.columns)))
+        new, seen = ws.write_with(cur.where("NOT more").select(*cur.columns).union(moved.select(*cur.columns)), **going)
         ws.drop(cur)
         cur = new
-    ends = ws.write(cur.groupBy("v").agg(F.min("to").alias("e1"), F.max("to").alias("e2"), F.min("frm").alias("a"), F.max("frm").alias("b"), F.max("more").alias("more")).where("NOT more").drop("more"))
-    m = ends.count()
+        if seen["more"] == left:
+            break
+        left = seen["more"]
+    ends, seen = ws.write_with(cur.groupBy("v").agg(F.min("to").alias("e1"), F.max("to").alias("e2"), F.min("frm").alias("a"), F.max("frm").alias("b"), F.max("more").alias("more")).where("NOT more").drop("more"), m=F.count(F.lit(1)))
+    m = seen["m"]
     if not m:
         return edges, ends.select("v", F.col("e1").alias("parent")), 0
     links = ends.where("e1 <> e2").select(F.col("e2").alias("src"), F.col("e1").alias("dst"))
     inner = ends.select("v", F.explode(F.array("a", "b")).alias("parent"))
-    return ws.write(_without(edges, inner).union(links).distinct()), ends.select("v", F.col("e1").alias("parent")), m
+    shorter = ws.write(_without(edges, inner).union(links).distinct())
+    ws.drop(two, cur)
+    return shorter, ends.select("v", F.col("e1").alias("parent")), m
 
 
 def contract_components(edges: DataFrame, ws: Workspace | None = None, core_share: float = 0.05, max_rounds: int = 32) -> DataFrame:
@@ -86,15 +93,17 @@ def contract_components(edges: DataFrame, ws: Workspace | None = None, core_shar
     """
     ws = ws or Workspace(edges.sparkSession, "contract")
     cur = ws.write(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    verts = ws.write(_arcs(cur).select(F.col("src").alias("id")).distinct())
-    n = verts.count()
+    verts, seen = ws.write_with(_arcs(cur).select(F.col("src").alias("id")).distinct(), n=F.count(F.lit(1)))
+    n = seen["n"]
     hung = []
     for _ in range(max_rounds):
-        cur, leaves, a = _strip(cur, ws)
+        bare, leaves, a = _strip(cur, ws)
         if a:
+            ws.drop(cur)
             hung.append(leaves)
-        cur, chain, b = _compress(cur, ws)
+        cur, chain, b = _compress(bare, ws)
         if b:
+            ws.drop(bare)
             hung.append(chain)
         if a + b < max(1, core_share * n):
             break
@@ -103,7 +112,9 @@ def contract_components(edges: DataFrame, ws: Workspace | None = None, core_shar
         # a parent without a label is the root of its own component
         up = labels.select(F.col("id").alias("parent"), "component")
         down = join_per_key(h, up, "parent", how="left").select(F.col("v").alias("id"), F.coalesce("component", "parent").alias("component"))
-        labels = ws.write(labels.union(down))
+        more = ws.write(labels.union(down))
+        ws.drop(labels)
+        labels = more
     return verts.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
@@ -123,10 +134,9 @@ def match_groups(records: DataFrame, matches: DataFrame) -> DataFrame:
     ws = Workspace(records.sparkSession, "matches")
     named = records.select(_record("id").alias("src"), F.explode(spelled_numbers(F.col("spks"))).alias("k")).where("src IS NOT NULL").distinct()
     named = ws.write(named.select("src", F.concat(F.lit(_LAST), F.col("k").cast("string")).alias("dst")))
-    shared = named.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
-    shared = ws.write(shared)
-    named = join_per_key(named, shared.where("n > 1").select("dst"), "dst", shared).select("src", "dst")
+    shared, measured = ws.write_with(named.groupBy("dst").agg(F.count(F.lit(1)).alias("n")), **size_measures())
+    named = join_per_key(named, shared.where("n > 1").select("dst"), "dst", shared, measured=measured).select("src", "dst")
     pairs = matches.select(_record("left_id").alias("src"), _record("right_id").alias("dst")).where("src <> dst")
     labels = ws.write(contract_components(pairs.union(named), ws)).where(~F.col("id").startswith(_LAST))
-    least = ws.write(labels.groupBy("component").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")))
-    return join_per_key(labels, least.select("component", "group_id"), "component", least.select("component", "n")).select("id", "group_id")
+    least, measured = ws.write_with(labels.groupBy("component").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")), **size_measures())
+    return join_per_key(labels, least.select("component", "group_id"), "component", least.select("component", "n"), measured=measured).select("id", "group_id")
