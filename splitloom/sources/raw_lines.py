@@ -83,6 +83,11 @@ def _number_errors(name: str, low: float | None, high: float | None) -> Column:
     return F.array(*checks)
 
 
+def _judged(lines: DataFrame, specs: dict[str, FileSpec]) -> DataFrame:
+    """:func:`parse_lines` with a row number ``_row``. A filter that names it is not merged into the rules, which would then run once for every place that reads them."""
+    return parse_lines(lines, specs).withColumns({"errors": F.col("errors"), "_row": F.monotonically_increasing_id()})
+
+
 def parse_lines(lines: DataFrame, specs: dict[str, FileSpec] = SPECS) -> DataFrame:
     """All columns of ``lines`` with ``cells map<string,string>`` and ``errors array<struct<reason,detail>>``.
 
@@ -124,7 +129,7 @@ def parse_lines(lines: DataFrame, specs: dict[str, FileSpec] = SPECS) -> DataFra
 
 def failed_lines(lines: DataFrame, specs: dict[str, FileSpec] = SPECS) -> DataFrame:
     """``line_id, file_name, reason, details, raw_line``: one row per failing line with its first reason."""
-    bad = parse_lines(lines.select("line_id", "file_name", "raw_line"), specs).where(F.size("errors") > 0)
+    bad = _judged(lines.select("line_id", "file_name", "raw_line"), specs).where((F.size("errors") > 0) & (F.col("_row") >= 0))
     return bad.select("line_id", "file_name", F.col("errors")[0]["reason"].alias("reason"), F.transform("errors", lambda e: e["detail"]).alias("details"), "raw_line")
 
 
@@ -135,7 +140,7 @@ def load_lines(lines: DataFrame, file_name: str, specs: dict[str, FileSpec] = SP
     list); numeric columns become ``array<double>``. A line sent twice gives two rows, told apart by ``line_id``.
     """
     spec = specs[file_name]
-    good = parse_lines(lines.select("line_id", "file_name", "raw_line").where(F.col("file_name") == file_name), specs).where(F.size("errors") == 0)
+    good = _judged(lines.select("line_id", "file_name", "raw_line").where(F.col("file_name") == file_name), specs).where((F.size("errors") == 0) & (F.col("_row") >= 0))
     out = [F.col("line_id")]
     for c in spec.columns:
         cell = F.col(f"cells.{c}")
