@@ -52,11 +52,12 @@ def split(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
 
 
 def random_candidates(ds: SplitDataset, n_candidates: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """``(cand_id)`` of the usable candidates and the members of all; written once, as scores read them several times."""
+    """``(cand_id)`` of the usable candidates and the members of all."""
     ws = Workspace(ds.records.sparkSession, "random")
     postings = ws.write(ds.postings().select("n", "value", "id"))
     masks = ws.write(cd.random_masks(postings.select("n", "value").distinct(), n_candidates, seed))
-    members = ws.write(cd.unpack_members(cd.packed_sides(postings, masks, len(ds.factors)), n_candidates))
+    # the packed sides are written, one row per block and record; they are unpacked where they are read
+    members = cd.unpack_members(ws.write(cd.packed_sides(postings, masks, len(ds.factors))), n_candidates)
     cands = ds.records.sparkSession.range(n_candidates).select(F.col("id").alias("cand_id")).join(cd.constant_candidates(masks, n_candidates), "cand_id", "left_anti")
     return cands, members
 
