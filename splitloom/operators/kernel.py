@@ -247,21 +247,50 @@ def spectral_labels(affinity: np.ndarray, clusters: int, seed: int = 0) -> np.nd
     d = affinity.sum(1)
     scale = 1 / np.sqrt(np.where(d > 0, d, 1))
     _, vectors = np.linalg.eigh(affinity * scale[:, None] * scale[None, :])
-    x = vectors[:, -clusters:]
+    return k_means(vectors[:, -clusters:], clusters, seed)
+
+
+def folded_labels(record: np.ndarray, value: np.ndarray, sizes: np.ndarray, smoothing: float, clusters: int, seed: int = 0) -> np.ndarray:
+    """Cluster of each class of copies, the same as over its records: postings ``(record, value)`` of classes of ``sizes`` records each.
+
+    The affinity of two records is the number of values they share plus ``smoothing``. Its leading eigenvectors are equal on copies, so
+    they are those of a matrix over classes, where a class of s copies has a vertex weight of s.
+    """
+    m = len(sizes)
+    holds = np.zeros((m, int(value.max(initial=-1)) + 1)) if m * (int(value.max(initial=-1)) + 1) <= 20_000_000 else None
+    if holds is not None:
+        holds[record, value] = 1
+        shared = holds @ holds.T
+    else:
+        shared = np.zeros((m, m))
+        order = np.argsort(value, kind="stable")
+        for rows in np.split(record[order], np.nonzero(np.diff(value[order]))[0] + 1):
+            shared[np.ix_(rows, rows)] += 1
+    own = np.bincount(record, minlength=m) + smoothing
+    d = (shared + smoothing) @ sizes - own
+    scale = np.sqrt(sizes / np.where(d > 0, d, 1))
+    _, vectors = np.linalg.eigh((shared + smoothing) * scale[:, None] * scale[None, :] - np.diag(own / np.where(d > 0, d, 1)))
+    return k_means(vectors[:, -clusters:], clusters, seed, sizes)
+
+
+def k_means(x: np.ndarray, clusters: int, seed: int = 0, weight: np.ndarray | None = None) -> np.ndarray:
+    """Cluster of each row, rows scaled to length one; best of ten starts."""
+    n = len(x)
+    w = np.ones(n) if weight is None else weight
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rng, best = np.random.default_rng(seed), (np.inf, np.zeros(n, int))
     for _ in range(10):
         centre = x[[int(rng.integers(n))]]
         while len(centre) < clusters:
-            far = ((x[:, None] - centre[None]) ** 2).sum(2).min(1)
+            far = w * ((x[:, None] - centre[None]) ** 2).sum(2).min(1)
             centre = np.vstack([centre, x[int(rng.choice(n, p=far / far.sum()))] if far.sum() > 0 else x[int(rng.integers(n))]])
         for _ in range(100):
             label = ((x[:, None] - centre[None]) ** 2).sum(2).argmin(1)
-            new = np.stack([x[label == c].mean(0) if (label == c).any() else centre[c] for c in range(clusters)])
+            new = np.stack([np.average(x[label == c], axis=0, weights=w[label == c]) if (label == c).any() else centre[c] for c in range(clusters)])
             if np.allclose(new, centre):
                 break
             centre = new
-        cost = ((x - centre[label]) ** 2).sum()
+        cost = (w[:, None] * (x - centre[label]) ** 2).sum()
         if cost < best[0] - 1e-12:
             best = (cost, label)
     return best[1]

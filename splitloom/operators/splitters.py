@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitloom.config import SplitConfig
@@ -19,7 +19,8 @@ from splitloom.operators import graph as gr
 from splitloom.operators import kernel as kn
 from splitloom.operators.constraints import constraint_scores
 from splitloom.operators.dataset import SplitDataset
-from splitloom.workspace import Workspace
+from splitloom.operators.edges import class_representatives, classes
+from splitloom.workspace import Workspace, join_per_key
 
 
 @dataclass
@@ -29,6 +30,8 @@ class SplitResult:
     total: float
 
 
+#: Classes of copies whose affinities are held as a dense matrix.
+MAX_CLASSES = 4000
 _HISTORY = "run int, iter int, total double, bits string"
 REGISTRY: dict[str, Callable[[SplitDataset, SplitConfig], SplitResult]] = {}
 
@@ -209,50 +212,19 @@ def min_node_cut(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
 def spectral(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     """Largest cluster to train, second largest to the held-out side; the others are unused.
 
-    Affinity: edge capacity plus a small constant off the diagonal. Dense eigenvectors up to 4,000 records, power iteration
-    clustering (an approximation) beyond. Ties in size go to the cluster with the smaller member.
+    Affinity: number of shared values plus a small constant off the diagonal. Copies are folded into classes of their size and stay together.
+    Dense eigenvectors up to MAX_CLASSES classes, however many records; the same matrix by subspace iteration over postings
+    (an approximation) beyond. Every record gets a cluster. Ties in size go to the cluster with the smaller member.
     """
-    spark = ds.records.sparkSession
     if conf.num_splits < 2:
         raise ValueError("at least two clusters")
-    n = ds.records.count()
-    member, edges = gr.graph_tables(ds)
-    if n > 4000:
-        return _spectral_large(ds, conf, member, edges)
-    k = kn.load_kernel(ds, conf.specs, conf.constraint_weights)
-    at = {x: i for i, x in enumerate(k.ids)}
-    w = np.full((n, n), conf.spectral_smoothing)
-    group: dict[str, list[int]] = {}
-    for r in member.collect():
-        group.setdefault(r["class_id"], []).append(at[r["id"]])
-    sizes = {r["id"]: r["s"] for r in ds.records.select("id", sum((F.size(F.array_distinct(F.coalesce(f, F.array()))) for f in ds.factors), F.lit(0)).alias("s")).collect()}
-    for c, rows in group.items():
-        w[np.ix_(rows, rows)] += sizes[c]
-    for e in edges.collect():
-        a, b = group[e["src"]], group[e["dst"]]
-        w[np.ix_(a, b)] += e["capacity"]
-        w[np.ix_(b, a)] += e["capacity"]
-    np.fill_diagonal(w, 0)
-    label = kn.spectral_labels(w, min(conf.num_splits, n), conf.seed)
-    ranked = sorted(set(label.tolist()), key=lambda c: (-(label == c).sum(), min(np.nonzero(label == c)[0])))
-    side = np.full(n, -1)
-    for s, c in enumerate(ranked[:2]):
-        side[label == c] = s
-    total = k.score(side)[0]
-    return _kernel_result(ds, k, side, [(0, total, None)], conf.seed, total)
-
-
-def _spectral_large(ds: SplitDataset, conf: SplitConfig, member: DataFrame, edges: DataFrame) -> SplitResult:
-    from pyspark.ml.clustering import PowerIterationClustering
-
-    from splitloom.operators.dataset import dense_index
-
     spark, ws = ds.records.sparkSession, Workspace(ds.records.sparkSession, "spectral")
-    number = ws.write(dense_index(member.select(F.col("class_id").alias("id")).distinct(), ["id"], "num", ws))
-    e = edges.join(number.toDF("src", "s"), "src").join(number.toDF("dst", "t"), "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"), F.col("capacity").alias("weight"))
-    label = PowerIterationClustering(k=conf.num_splits, maxIter=40, weightCol="weight").assignClusters(e)
-    named = label.join(number.withColumnRenamed("num", "_n"), F.col("id") == F.col("_n")).select(number["id"].alias("class_id"), "cluster")
-    rows = ws.write(member.join(named, "class_id").select("id", "cluster"))
+    member = ws.write(classes(ds).select("id", "class_id"))
+    reps = ws.write(class_representatives(ds))
+    postings, sizes = class_postings(ds, reps)
+    small = sizes.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES and postings.limit(kn.MAX_POSTINGS + 1).count() <= kn.MAX_POSTINGS
+    label = (_spectral_dense if small else _spectral_large)(ws, ws.write(postings), ws.write(sizes), conf)
+    rows = ws.write(member.join(label, "class_id").select("id", "cluster"))
     ranked = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("m")).orderBy(F.desc("c"), "m").limit(2).collect()
     side = spark.createDataFrame([(r["cluster"], s) for s, r in enumerate(ranked)], "cluster int, side int")
     out = ws.write(rows.join(F.broadcast(side), "cluster").select(F.lit(0).cast("bigint").alias("cand_id"), "id", "side"))
@@ -260,6 +232,78 @@ def _spectral_large(ds: SplitDataset, conf: SplitConfig, member: DataFrame, edge
     return SplitResult(out.select("id", "side"), spark.createDataFrame([(conf.seed, 0, float(total), None)], _HISTORY), float(total))
 
 
+def class_postings(ds: SplitDataset, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(class_id, v)``, the values of classes, and ``(class_id, s, own)``, their records and number of values."""
+    tags = F.concat(*[F.transform(f, lambda x, n=n: F.concat(F.lit(f"{n}:"), x.cast("string"))) for n, f in enumerate(ds.factors)])
+    return reps.select("class_id", F.explode(tags).alias("v")), reps.select("class_id", F.col("class_size").cast("double").alias("s"), F.size(tags).cast("double").alias("own"))
+
+
+def _spectral_dense(ws: Workspace, postings: DataFrame, sizes: DataFrame, conf: SplitConfig) -> DataFrame:
+    rows = sizes.orderBy("class_id").collect()
+    at = {r["class_id"]: i for i, r in enumerate(rows)}
+    values: dict[str, int] = {}
+    pairs = [(at[r["class_id"]], values.setdefault(r["v"], len(values))) for r in postings.orderBy("v", "class_id").toLocalIterator()]
+    where = np.array(pairs, np.int64).reshape(-1, 2)
+    label = kn.folded_labels(where[:, 0], where[:, 1], np.array([r["s"] for r in rows]), conf.spectral_smoothing, min(conf.num_splits, len(rows)), conf.seed)
+    return ws.spark.createDataFrame([(r["class_id"], int(c)) for r, c in zip(rows, label)], f"class_id {sizes.schema['class_id'].dataType.simpleString()}, cluster int")
+
+
+def _spectral_large(ws: Workspace, postings: DataFrame, sizes: DataFrame, conf: SplitConfig, rounds: int = 60) -> DataFrame:
+    """``(class_id, cluster)`` without pairs of classes: a product with the affinity is a sum per value and a sum per class.
+
+    The first eigenvector is known (the root of the degrees); the others are found by at most ``rounds`` rounds of subspace iteration.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    k, smooth = conf.num_splits, conf.spectral_smoothing
+    holders = ws.write(postings.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    n = sizes.agg(F.sum("s")).first()[0]
+
+    def over_values(x: DataFrame, names: list[str]) -> DataFrame:
+        """Per class the sums over its values of the sums over their holders."""
+        per = postings.join(x, "class_id").groupBy("v").agg(*[F.sum(c).alias(c) for c in names])
+        return join_per_key(postings, per, "v", holders).groupBy("class_id").agg(*[F.sum(c).alias(f"_{c}") for c in names])
+
+    d = F.coalesce("_s", F.lit(0.0)) + smooth * n - F.col("own") - smooth
+    base = sizes.join(over_values(sizes.select("class_id", "s"), ["s"]), "class_id", "left").withColumn("d", d).drop("_s")
+    base = ws.write(base.withColumn("d", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0)))
+    cols = [f"x{j}" for j in range(k)]
+    noise = [(F.xxhash64(F.lit(conf.seed), F.lit(j), "class_id") / F.lit(2.0**63)).alias(f"x{j}") for j in range(1, k)]
+    x = ws.write(base.select("*", F.sqrt(F.col("s") * F.col("d")).alias("x0"), *noise))
+    turn, scale = _orthonormal(x, cols), F.sqrt(F.col("s") / F.col("d"))
+    for _ in range(rounds):
+        x = x.select("class_id", "s", "own", "d", *turn)
+        y = x.select("class_id", *[(scale * F.col(c)).alias(c) for c in cols])
+        every = x.agg(*[F.sum(scale * F.col(c)) for c in cols]).first()
+        near = x.join(over_values(y, cols), "class_id", "left")
+        # one is added to the diagonal: the eigenvalues lie between -1 and 1, and those next to 1 are wanted
+        step = [(scale * (F.coalesce(f"_{c}", F.lit(0.0)) + smooth * e) + (1 - (F.col("own") + smooth) / F.col("d")) * F.col(c)).alias(f"z{c[1:]}") for c, e in zip(cols, every)]
+        z = ws.write(near.select("class_id", "s", "own", "d", *cols, *step))
+        new = [f"z{j}" for j in range(k)]
+        seen = z.agg(*[F.sum(F.col(a) * F.col(b)) for a in cols for b in new], *[F.sum(F.col(b) * F.col(b)) for b in new]).first()
+        left = 1 - sum(v * v for v in seen[: k * k]) / max(sum(seen[k * k :]), 1e-300)
+        x = z.select("class_id", "s", "own", "d", *[F.col(b).alias(c) for b, c in zip(new, cols)])
+        turn = _orthonormal(x, cols)
+        if left < 1e-10:
+            break
+    long = F.sqrt(sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0)))
+    points = ws.write(x.select("class_id", "s", *turn).select("class_id", "s", F.transform(F.array(*cols), lambda v: v / F.greatest(long, F.lit(1e-12))).alias("p")))
+    points = points.select("class_id", "s", array_to_vector("p").alias("features"))
+    models = [KMeans(k=k, seed=conf.seed + i, maxIter=100, weightCol="s").fit(points) for i in range(3)]
+    return min(models, key=lambda m: m.summary.trainingCost).transform(points).select("class_id", F.col("prediction").alias("cluster"))
+
+
+def _orthonormal(x: DataFrame, cols: list[str]) -> list[Column]:
+    """Columns that are combinations of ``cols`` with length one over all rows and at right angles."""
+    k = len(cols)
+    sums = x.agg(*[F.sum(F.col(a) * F.col(b)) for a in cols for b in cols]).first()
+    gram = np.array(list(sums), float).reshape(k, k)
+    size = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    low = np.linalg.inv(np.linalg.cholesky(gram / size[:, None] / size[None, :] + 1e-13 * np.eye(k))) / size[None, :]
+    return [sum((float(low[j, i]) * F.col(cols[i]) for i in range(j + 1)), F.lit(0.0)).alias(c) for j, c in enumerate(cols)]
+
+
 @register("disconnected")
 def disconnected(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     """Random search over components instead of values: no leftover records. A connected dataset is an error."""

@@ -249,6 +249,45 @@ def test_spectral_finds_the_two_groups(spark):
     assert {sides[f"{i:02d}"] for i in range(6)} == {0} and {sides[f"{i:02d}"] for i in range(6, 10)} == {1}
 
 
+def labelled(ds, way):
+    """Smallest id of the cluster of every record, by the dense or the large way."""
+    from splitloom.workspace import Workspace
+
+    ws = Workspace(ds.records.sparkSession, "t")
+    reps = sp.class_representatives(ds)
+    label = way(ws, *(ws.write(x) for x in sp.class_postings(ds, reps)), SplitConfig((1,), (2,), (ConstraintSpec("mean"),), (1.0,), splitter="spectral_clustering", num_splits=3))
+    rows = sp.classes(ds).join(label, "class_id").select("id", "cluster").collect()
+    first = {c: min(r["id"] for r in rows if r["cluster"] == c) for c in {r["cluster"] for r in rows}}
+    return {r["id"]: first[r["cluster"]] for r in rows}
+
+
+def test_spectral_is_the_same_folded_and_large(spark):
+    # three groups of records with copies, a few bridges
+    groups = [[f"{g}{i % 4}", f"{g}{(i + 1) % 4}"] for g, n in (("a", 16), ("b", 12), ("c", 8)) for i in range(n)]
+    rows = [(f"{i:02d}", [*v, *(["bridge"] if i in (0, 16, 28) else [])], [float(i)], [1.0]) for i, v in enumerate(groups)]
+    ds = SplitDataset(spark.createDataFrame(rows, "id string, f array<string>, x array<double>, weights array<double>"), ("f", "x"), ("f",), ("x",))
+    w = np.array([[1e-4 + len(set(p[1]) & set(q[1])) if p is not q else 0.0 for q in rows] for p in rows])
+    plain = kn.spectral_labels(w, 3)
+    want = {r[0]: min(q[0] for q, c in zip(rows, plain) if c == plain[i]) for i, r in enumerate(rows)}
+    assert len(set(want.values())) == 3
+    assert labelled(ds, sp._spectral_dense) == want
+    assert labelled(ds, sp._spectral_large) == want
+
+
+def test_spectral_beyond_4000_records_keeps_edgeless_classes(spark, monkeypatch):
+    rows = spark.range(4500).select(F.format_string("%05d", "id").alias("id"), F.when(F.col("id") % 9 < 8, F.array((F.col("id") % 9 % 5).cast("string"))).otherwise(F.array().cast("array<string>")).alias("f"), F.array(F.col("id").cast("double")).alias("x"), F.array(F.lit(1.0)).alias("weights"))
+    ds = SplitDataset(rows, ("f", "x"), ("f",), ("x",))
+    c = SplitConfig((1,), (2,), (ConstraintSpec("mean"),), (1.0,), splitter="spectral_clustering")
+    large = sp._spectral_large
+    monkeypatch.setattr(sp, "_spectral_large", lambda *a: large(*a, rounds=3))  # all six eigenvalues are nearly 1
+    for most in (4000, 2):  # dense and large
+        monkeypatch.setattr(sp, "MAX_CLASSES", most)
+        got = {r["id"]: r["side"] for r in sp.split(ds, c).assignment.collect()}
+        assert len(got) == 4500 and set(got.values()) == {0, 1}
+        kept = {(-1 if int(i) % 9 == 8 else int(i) % 9 % 5, s) for i, s in got.items()}
+        assert len(kept) == 6  # classes stay whole
+
+
 def test_disconnected(spark):
     rows = [(str(i), [str(i // 4)], [float(i)], [1.0]) for i in range(40)]
     ds = SplitDataset(spark.createDataFrame(rows, "id string, f array<string>, x array<double>, weights array<double>"), ("f", "x"), ("f",), ("x",))
