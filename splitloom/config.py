@@ -8,6 +8,9 @@ from typing import Any
 #: Type names of fields and the Spark types they stand for (fixed values).
 TYPES = {"str": "string", "float": "double", "int": "bigint", "bool": "boolean"}
 
+#: Similarities that graphs, components, splits and overlaps are built from: records are related by equal values.
+_HONOURED = ("set_intersection",)
+
 #: Legacy top-level keys that hold the parameters of a constraint of that name.
 _LEGACY = ("mean_tuple", "sum_tuple", "kl_tuple", "max_entropy")
 
@@ -95,6 +98,11 @@ def parse_config(conf: dict, n_fields: int | None = None) -> SplitConfig:
     weights = tuple(float(w) for w in conf.get("factor_weights") or (1.0,) * len(factors))
     if len(sims) != len(factors) or len(weights) != len(factors):
         raise ValueError("one similarity function and one weight for each factor")
+    other = sorted({str(x) for x in sims} - set(_HONOURED))
+    if other:
+        raise ValueError(f"similarities {other} are not honoured: graphs, components and overlaps are built from equal values ({', '.join(_HONOURED)})")
+    if set(weights) - {1.0}:
+        raise ValueError("factor_weights other than 1 are not honoured: every shared value counts 1")
     cweights = tuple(float(w) for w in conf.get("constraint_weights") or conf.get("constraints_weights") or (1.0,) * len(specs))
     if len(cweights) != len(specs):
         raise ValueError("one weight for each constraint")

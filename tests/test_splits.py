@@ -361,6 +361,14 @@ def test_configurations():
             parse_config(bad, 3)
 
 
+@pytest.mark.parametrize("extra", [{"similarity_functions": ["cosine"]}, {"similarity_functions": ["gaussian"]}, {"similarity_functions": ["levenshtein"]}, {"similarity_functions": ["boolean"]}, {"factor_weights": [0.5]}])
+def test_similarities_that_are_not_honoured_are_refused(extra):
+    base = {"factor_idxs": [1], "constraint_idxs": [2], "constraints": ["mean"]}
+    assert parse_config(base | {"similarity_functions": ["set_intersection"], "factor_weights": [1]}).factor_weights == (1.0,)
+    with pytest.raises(ValueError, match="not honoured"):
+        parse_config(base | extra)
+
+
 def test_command_line(spark, dummy_tsv, tmp_path):
     import yaml
 
