@@ -191,6 +191,41 @@ def neighbours_at(bits: list[np.ndarray], depth: int, most: int, rng: np.random.
     return out
 
 
+def sampled_flips(bits: list[np.ndarray], depth: int, most: int, rng: np.random.Generator) -> list[list[tuple[int, int]]]:
+    """What to flip for up to ``most`` distinct choices exactly ``depth`` flips away, as ``neighbours_at``, without a list of all values per step."""
+    sizes = [1 if len(x) == 2 else len(x) for x in bits]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    if depth == 1 and first[-1] <= most:
+        way = flips(bits)
+        rng.shuffle(way)
+        return [[tuple(int(x) for x in w)] for w in way]
+    chosen = [int(x.sum()) for x in bits]
+    out, seen = [], set()
+    for _ in range(4 * most):
+        count, used = list(chosen), []
+        for _ in range(50 * depth):
+            g = int(rng.integers(first[-1]))
+            n = int(np.searchsorted(first, g, "right")) - 1
+            j = g - int(first[n])
+            if (n, j) in used:
+                continue
+            if len(bits[n]) != 2:
+                c = count[n] + (-1 if bits[n][j] else 1)
+                if not 0 < c < len(bits[n]):
+                    continue
+                count[n] = c
+            used.append((n, j))
+            if len(used) == depth:
+                break
+        key = frozenset(used)
+        if len(used) == depth and key not in seen:
+            seen.add(key)
+            out.append(used)
+        if len(out) >= most:
+            break
+    return out
+
+
 def bit_text(bits: list[np.ndarray]) -> str:
     return "|".join("".join("1" if x else "0" for x in b) for b in bits)
 

@@ -30,6 +30,8 @@ class SplitResult:
     total: float
 
 
+#: Rows of packed sides, postings times blocks, that one job of the large neighbourhood search makes.
+PACKED = 20_000_000
 #: Classes of copies whose affinities are held as a dense matrix.
 MAX_CLASSES = 4000
 _HISTORY = "run int, iter int, total double, bits string"
@@ -104,11 +106,10 @@ def vns_runs(ds: SplitDataset, conf: SplitConfig, seeds: list[int]) -> tuple[kn.
 
 @register("vns")
 def vns(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
-    """Variable neighbourhood search; in one task for data that fits there, as one packed job per neighbourhood otherwise."""
-    small = ds.postings().limit(kn.MAX_POSTINGS + 1).count() <= kn.MAX_POSTINGS
-    if conf.check_complete and small and gr.is_complete(ds).first()["is_complete"]:
+    """Variable neighbourhood search; in one task for data that fits there, as packed jobs over DataFrames otherwise."""
+    if conf.check_complete and gr.is_complete(ds).first()["is_complete"]:
         raise ValueError("every two records share a value: nothing can be held out")
-    if not small:
+    if ds.postings().limit(kn.MAX_POSTINGS + 1).count() > kn.MAX_POSTINGS or ds.records.limit(kn.MAX_POSTINGS + 1).count() > kn.MAX_POSTINGS:
         return vns_large(ds, conf)
     k, runs = vns_runs(ds, conf, [conf.seed])
     rows = sorted(runs.collect(), key=lambda r: r["iter"])
@@ -117,44 +118,81 @@ def vns(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
 
 
 def vns_large(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
-    """The same search over DataFrames: the incumbent is a table of choices, a neighbourhood is scored in one packed job.
+    """The same search over DataFrames: records stay in tables, the driver holds one bit per factor value and the flips of the neighbours.
 
-    A neighbour flips a number of values, taken by hash; 60 neighbours share a BIGINT per value, so their sides cost one
-    group-by over the postings, whatever the number of records.
+    60 neighbours share a BIGINT per value; the blocks of a neighbourhood are scored together as long as they give PACKED rows, one
+    group-by over the postings for each job. Equal neighbours in a tie go by number, not by bit text.
     """
     spark, ws = ds.records.sparkSession, Workspace(ds.records.sparkSession, "vns")
-    postings = ws.write(ds.postings().select("n", "value", "id"))
-    values = ws.write(postings.select("n", "value").distinct())
-    n_values = values.count()
-    size = min(conf.max_neighbors, cd.BLOCK)
-    start = cd.md5_mask(conf.seed, F.lit(0), F.col("n"), F.col("value")).bitwiseAND(1) == 1
-    best = ws.write(values.withColumn("bit", start))
-    one = spark.range(1).select(F.col("id").alias("cand_id"))
-
-    def scored(bits: DataFrame, masks: DataFrame, cands: DataFrame) -> DataFrame:
-        members = ws.write(cd.unpack_members(cd.packed_sides(postings, masks, len(ds.factors)), size))
-        return constraint_scores(ds, conf.specs, members, cands, conf.constraint_weights)
-
-    def whole(bits: DataFrame) -> DataFrame:
-        return bits.select(F.lit(0).cast("bigint").alias("block"), "n", "value", F.when(F.col("bit"), F.lit(cd.FULL)).otherwise(F.lit(0)).cast("bigint").alias("mask"))
-
-    total = scored(best, whole(best), one).first()["total"]
-    history = [(conf.seed, 0, float(total), None)]
-    for it in range(1, (20 if conf.max_iter is None else conf.max_iter) + 1):
+    rng = np.random.default_rng(conf.seed)
+    postings, seen = ws.write_with(ds.postings().select("n", "value", "id"), rows=F.count(F.lit(1)))
+    values = ws.write(ds.values().select("n", "value", F.col("pos").cast("int").alias("pos")))
+    sizes = {r["n"]: r["c"] for r in values.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
+    if any(sizes.get(n, 0) < 2 for n in range(len(ds.factors))):
+        raise ValueError("a factor with fewer than two values cannot be split")
+    best = []
+    for n in range(len(ds.factors)):
+        x = rng.random(sizes[n]) < 0.5
+        while x.all() or not x.any():
+            x = rng.random(sizes[n]) < 0.5
+        best.append(x)
+
+    def masks_of(bits: list[np.ndarray], options: list[list[tuple[int, int]]]) -> DataFrame:
+        """``(block, n, value, mask)`` of the choices ``options`` flips away from ``bits``."""
+        flip: dict[tuple[int, int, int], int] = {}
+        for i, option in enumerate(options):
+            for n, j in option:
+                for at in (0, 1) if len(bits[n]) == 2 else (j,):
+                    flip[i // cd.BLOCK, n, at] = flip.get((i // cd.BLOCK, n, at), 0) | 1 << i % cd.BLOCK
+        packed = spark.createDataFrame([(n, np.packbits(x).tobytes()) for n, x in enumerate(bits)], "n int, chosen binary")
+        byte = F.conv(F.hex(F.expr("substring(chosen, pos div 8 + 1, 1)")), 16, 10).cast("int")
+        on = F.call_function("shiftright", byte, 7 - F.col("pos") % 8).bitwiseAND(1) == 1
+        base = values.join(F.broadcast(packed), "n").withColumn("on", on).drop("chosen").crossJoin(F.broadcast(spark.range(-(-len(options) // cd.BLOCK)).toDF("block")))
+        change = spark.createDataFrame([(*k, m) for k, m in flip.items()], "block bigint, n int, pos int, flip bigint")
+        mask = F.when(F.col("on"), F.lit(cd.FULL)).otherwise(F.lit(0)).cast("bigint").bitwiseXOR(F.coalesce("flip", F.lit(0).cast("bigint")))
+        return base.join(F.broadcast(change), ["block", "n", "pos"], "left").select("block", "n", "value", mask.alias("mask"))
+
+    def best_of(bits: list[np.ndarray], options: list[list[tuple[int, int]]]) -> tuple[float, list[tuple[int, int]]]:
+        found = []
+        step = cd.BLOCK * max(1, PACKED // max(1, seen["rows"]))
+        for a in range(0, len(options), step):
+            part = options[a : a + step]
+            sides = ws.write(cd.packed_sides(postings, masks_of(bits, part), len(ds.factors)))
+            cands = spark.range(len(part)).select(F.col("id").alias("cand_id"))
+            top = cd.best_candidate(constraint_scores(ds, conf.specs, cd.unpack_members(sides, len(part)), cands, conf.constraint_weights)).first()
+            ws.drop(sides)
+            found.append((float(top["total"]), a + top["cand_id"]))
+        total, i = min(found)
+        return total, options[i]
+
+    def moved(bits: list[np.ndarray], option: list[tuple[int, int]]) -> list[np.ndarray]:
+        for at in option:
+            bits = kn.flipped(bits, at)
+        return bits
+
+    total = best_of(best, [[]])[0]
+    history = [(conf.seed, 0, total, kn.bit_text(best))]
+    for it in range(1, (200 if conf.max_iter is None else conf.max_iter) + 1):
         for depth in range(1, conf.num_shake_neighborhoods + 1):
-            # neighbour j flips about depth values: those whose hash for j falls below depth / values
-            salt = f"{conf.seed}:{it}:{depth}"
-            cut = int(depth / max(n_values, 1) * (1 << 31))
-            flip = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0).cast("bigint"), lambda m, j: m.bitwiseOR(F.when(F.pmod(F.xxhash64(F.lit(salt), j, F.col("n"), F.col("value")), F.lit(1 << 31)) < cut, F.call_function("shiftleft", F.lit(1).cast("bigint"), j)).otherwise(F.lit(0).cast("bigint"))))
-            masks = ws.write(whole(best).withColumn("mask", F.col("mask").bitwiseXOR(flip)))
-            top = cd.best_candidate(scored(best, masks, spark.range(size).select(F.col("id").alias("cand_id")))).first()
-            if top is not None and top["total"] < total:
-                total = top["total"]
-                best = ws.write(masks.select("n", "value", F.expr(f"(shiftright(mask, {top['cand_id']}) & 1) = 1").alias("bit")))
+            shake = kn.sampled_flips(best, depth, 1, rng)
+            if not shake:
+                continue
+            point = moved(best, shake[0])
+            low, found = best_of(point, [[]])[0], point
+            for near in range(1, conf.num_search_neighborhoods + 1):
+                options = kn.sampled_flips(point, near, conf.max_neighbors, rng)
+                if options:
+                    s, option = best_of(point, options)
+                    if s < low:
+                        found, low = moved(point, option), s
+                        break
+            if low < total:
+                best, total = found, low
                 break
-        history.append((conf.seed, it, float(total), None))
-    sides = cd.packed_sides(postings, whole(best), len(ds.factors))
-    return SplitResult(cd.unpack_members(sides, 1).select("id", "side"), spark.createDataFrame(history, _HISTORY), float(total))
+        # an incumbent that stays shares its text
+        history.append((conf.seed, it, total, history[-1][3] if total == history[-1][2] else kn.bit_text(best)))
+    sides = cd.packed_sides(postings, masks_of(best, [[]]), len(ds.factors))
+    return SplitResult(ws.write(cd.unpack_members(sides, 1).select("id", "side")), spark.createDataFrame(history, _HISTORY), total)
 
 
 @register("min_node_cut")

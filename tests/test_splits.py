@@ -213,6 +213,45 @@ def test_vns_large_finds_as_good_a_split(spark):
     check_partition(ds, r)
 
 
+def test_vns_large_searches_neighbourhoods_of_the_shaken_point(spark, monkeypatch):
+    rows = [(f"{i:02d}", [f"{i // 2:02d}"], ["u" if i % 3 else "v"], [float(i * i)], [1.0]) for i in range(24)]
+    ds = SplitDataset(spark.createDataFrame(rows, "id string, f array<string>, g array<string>, x array<double>, weights array<double>"), ("f", "g", "x"), ("f",), ("x",))
+    c = SplitConfig((1,), (2,), (ConstraintSpec("mean"),), (1.0,), splitter="vns", seed=2, max_iter=1, num_shake_neighborhoods=1, num_search_neighborhoods=2, max_neighbors=130)
+    jobs = []
+    packed = cd.packed_sides
+    monkeypatch.setattr(cd, "packed_sides", lambda p, masks, n: jobs.append(masks.groupBy("block").count().count()) or packed(p, masks, n))
+    r = sp.vns_large(ds, c)
+    history = sorted(r.history.collect(), key=lambda h: h["iter"])
+    assert max(jobs) >= 1 and len(jobs) >= 4  # the start, the shaken point, its neighbours, the result
+    k = kn.load_kernel(ds, c.specs, c.constraint_weights)
+    for h in history:  # the bits are those of the incumbent
+        assert set(h["bits"]) == {"0", "1"}
+        assert k.score(k.sides([np.array([b == "1" for b in h["bits"]])]))[0] == pytest.approx(h["total"])
+    check_partition(ds, r)
+    assert history[-1]["total"] <= history[0]["total"]
+
+
+def test_vns_beyond_one_task_checks_completeness(spark, monkeypatch):
+    rows = [(str(i), ["same", str(i)], [float(i)], [1.0]) for i in range(5)]
+    ds = SplitDataset(spark.createDataFrame(rows, "id string, f array<string>, x array<double>, weights array<double>"), ("f", "x"), ("f",), ("x",))
+    monkeypatch.setattr(kn, "MAX_POSTINGS", 3)
+    with pytest.raises(ValueError, match="nothing can be held out"):
+        sp.split(ds, SplitConfig((1,), (2,), (ConstraintSpec("mean"),), (1.0,), splitter="vns", max_iter=0))
+
+
+def test_sampled_flips():
+    rng, bits = np.random.default_rng(1), [np.array([True, False, False, False, True]), np.array([True, False])]
+    for depth, most in ((1, 100), (1, 3), (2, 130), (3, 7)):
+        out = kn.sampled_flips(bits, depth, most, rng)
+        assert 0 < len(out) <= most and len({frozenset(o) for o in out}) == len(out) and {len(o) for o in out} == {depth}
+        for o in out:
+            x = bits
+            for at in o:
+                x = kn.flipped(x, at)
+            assert all(b.any() and not b.all() for b in x)
+    assert len(kn.sampled_flips(bits, 1, 100, rng)) == 6
+
+
 def test_multi_seed_and_best_runs(dummy):
     runs = sp.multi_seed(dummy, conf(max_iter=2, max_neighbors=10, num_shake_neighborhoods=1, num_search_neighborhoods=1), 2).select("run", "iter", "total")
     assert {r["run"] for r in runs.collect()} == {0, 1, 2}
