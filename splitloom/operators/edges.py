@@ -65,32 +65,41 @@ def _tagged(n: int):
 def record_links(ds: SplitDataset, max_values: int = 10) -> DataFrame:
     """``(id, class_id, n_links)``: one row per record with the number of other records that share a value with it.
 
-    No pairs are formed, however many records hold a value: the records that share one of k values with a
-    class are counted by inclusion and exclusion over the 2^k - 1 sets of its values, each counted once for all classes. Classes
-    of more than ``max_values`` values (all factors together) would need too many sets; data that has any is counted over
-    class pairs. A record without values has no links.
+    Records of classes of at most ``max_values`` values (all factors together) are counted without pairs, however many hold a value: those
+    that share one of k values with a class are counted by inclusion and exclusion over the 2^k - 1 sets of its values, each counted once
+    for all classes. Wider classes would need too many sets: they meet the classes that hold their values, one distinct pair for each,
+    and the pairs count for both sides. A record without values has no links.
     """
     ws = Workspace(ds.records.sparkSession, "links")
     member = ws.write(classes(ds).select("id", "class_id", "class_size"))
     tags = F.concat(*[F.transform(f, _tagged(n)) for n, f in enumerate(ds.factors)])
-    reps, seen = ws.write_with(class_representatives(ds).select("class_id", "class_size", tags.alias("tags"), *ds.factors), most=F.coalesce(F.max(F.size("tags")), F.lit(0)))
+    reps, seen = ws.write_with(class_representatives(ds).select("class_id", "class_size", tags.alias("tags")), most=F.coalesce(F.max(F.size("tags")), F.lit(0)))
+    choice = F.explode(F.expr("sequence(1L, shiftleft(1L, size(tags)) - 1)"))
+    sets = reps.where((F.size("tags") > 0) & (F.size("tags") <= max_values)).withColumn("c", choice)
+    picked = F.filter("tags", lambda x, i: F.call_function("shiftright", F.col("c"), i.cast("int")).bitwiseAND(F.lit(1)) == 1)
+    sets = ws.write(sets.select("class_id", "class_size", F.to_json(F.struct(picked.alias("s"))).alias("s"), F.when(F.bit_count("c") % 2 == 1, 1).otherwise(-1).alias("sign")))
+    held, measured = ws.write_with(sets.groupBy("s").agg(F.sum("class_size").alias("held"), F.count(F.lit(1)).alias("n")), **size_measures())
+    near = join_per_key(sets, held.select("s", "held"), "s", held.select("s", "n"), measured=measured).groupBy("class_id").agg((F.sum(F.col("sign") * F.col("held")) - 1).alias("_links"))
     if seen["most"] > max_values:
-        edges = shared_value_edges(reps, ds.factors)
-        both = edges.select("src", "dst").union(edges.select("dst", "src"))
-        near = both.join(reps.select(F.col("class_id").alias("dst"), F.col("class_size").alias("n")), "dst").groupBy(F.col("src").alias("class_id")).agg(F.sum("n").alias("_near"))
-        near = reps.where("size(tags) > 0").join(near, "class_id", "left").select("class_id", (F.col("class_size") - 1 + F.coalesce("_near", F.lit(0))).alias("_links"))
-    else:
-        choice = F.explode(F.expr("sequence(1L, shiftleft(1L, size(tags)) - 1)"))
-        sets = reps.where("size(tags) > 0").withColumn("c", choice)
-        picked = F.filter("tags", lambda x, i: F.call_function("shiftright", F.col("c"), i.cast("int")).bitwiseAND(F.lit(1)) == 1)
-        sets = ws.write(sets.select("class_id", "class_size", F.to_json(F.struct(picked.alias("s"))).alias("s"), F.when(F.bit_count("c") % 2 == 1, 1).otherwise(-1).alias("sign")))
-        held, measured = ws.write_with(sets.groupBy("s").agg(F.sum("class_size").alias("held"), F.count(F.lit(1)).alias("n")), **size_measures())
-        near = join_per_key(sets, held.select("s", "held"), "s", held.select("s", "n"), measured=measured).groupBy("class_id").agg((F.sum(F.col("sign") * F.col("held")) - 1).alias("_links"))
+        near = near.unionByName(_wide_links(reps, max_values, ws)).groupBy("class_id").agg(F.sum("_links").alias("_links"))
     sizes = member.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
     out = join_per_key(member.select("id", "class_id"), near, "class_id", sizes, how="left")
     return out.select("id", "class_id", F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
+def _wide_links(reps: DataFrame, max_values: int, ws: Workspace, salts: int = 16) -> DataFrame:
+    """``(class_id, _links)``: links of classes of more than ``max_values`` values, and of the others with them; parts of a class add up.
+
+    The holders of a value are spread over ``salts`` tasks, so a value that most records hold is not joined in one.
+    """
+    holders = reps.select("class_id", "class_size", (F.size("tags") > max_values).alias("wide"), F.pmod(F.xxhash64("class_id"), F.lit(salts)).cast("int").alias("salt"), F.explode("tags").alias("v"))
+    wide = reps.where(F.size("tags") > max_values)
+    ask = wide.select(F.col("class_id").alias("w"), F.col("class_size").alias("n"), F.explode("tags").alias("v")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = ws.write(ask.join(holders, ["v", "salt"]).where("w <> class_id").groupBy("w", "class_id").agg(F.first("n").alias("n"), F.first("class_size").alias("class_size"), F.first("wide").alias("wide")))
+    own = wide.select("class_id", (F.col("class_size") - 1).alias("_links"))
+    return own.unionByName(pairs.select(F.col("w").alias("class_id"), F.col("class_size").alias("_links"))).unionByName(pairs.where("NOT wide").select("class_id", F.col("n").alias("_links")))
+
+
 def equal_value_classes(ds: SplitDataset, field: str) -> DataFrame:
     """``(id, class_id, n_links)`` for the boolean similarity: linked are the records with the same set of values."""
     rows = ds.records.select("id", F.to_json(F.struct(F.array_sort(flat_values(ds.records, field)).alias("v"))).alias("k"))

@@ -143,6 +143,10 @@ def links_set_intersection(spark: SparkSession, d: str) -> DataFrame:
     return ed.record_links(orders(spark, d))
 
 
+def links_customer_supplier(spark: SparkSession, d: str) -> DataFrame:
+    return ed.record_links(orders(spark, d, ("customer", "supplier")))
+
+
 def links_boolean(spark: SparkSession, d: str) -> DataFrame:
     return ed.equal_value_classes(_suppliers(spark, d), "nation")
 
@@ -407,7 +411,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tsv_like_multivalue, group_records, dedup_keep_first, partition_subset_renorm, slice_records, record_at, record_json, aligned_fields, constraint_inverted_index, factor_inverted_index, vocab, factor_values,
-        factor_node_counts, links_set_intersection, links_boolean, edges_weighted_sum, edges_pooled, edges_gaussian, search_cosine, edges_levenshtein, point_to_set_max, similarity_expressions, graph_is_complete,
+        factor_node_counts, links_set_intersection, links_customer_supplier, links_boolean, edges_weighted_sum, edges_pooled, edges_gaussian, search_cosine, edges_levenshtein, point_to_set_max, similarity_expressions, graph_is_complete,
         graph_components, component_sizes, component_rollup, split_single_factor, split_collapsed, split_collapsed_plain, split_from_index, split_neighbors, score_mean, score_mean_tuple, score_mean_weighted,
         score_sum, score_sum_tuple, _kl("forward"), _kl("reverse"), _kl("symmetric"), score_kl_tuple, score_max_entropy, kl_distributions, score_total_worst, random_search_best, random_split, overlap_test_sets,
         overlap_stats, split_stats, best_so_far, finite_scores, best_seed_topk, index_ranges, stream_assignment, vns_split, min_node_cut_split, spectral_split, disconnected_split,
@@ -483,6 +487,7 @@ SQL = {
     "factor_values": f"WITH post AS ({_CUST} UNION ALL {_SUPP}), c AS (SELECT n, value, count(*) AS n_records FROM post GROUP BY ALL) SELECT n, value, row_number() OVER (PARTITION BY n ORDER BY CAST(value AS BIGINT)) - 1 AS pos, n_records FROM c",
     "factor_node_counts": f"WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_acctbal AS x FROM supplier), v AS (SELECT DISTINCT x FROM s), near AS (SELECT DISTINCT 1 AS n, CAST(v.x AS VARCHAR) AS value, s.id FROM v JOIN s ON exp(-pow(v.x - s.x, 2)) > 0.5 OR v.x = s.x) SELECT n, value, count(*) AS n_records FROM (SELECT n, value, id FROM ({_NATION}) UNION SELECT n, value, id FROM near) GROUP BY ALL",
     "links_set_intersection": "SELECT CAST(o_orderkey AS VARCHAR) AS id, min(CAST(o_orderkey AS VARCHAR)) OVER (PARTITION BY o_custkey) AS class_id, count(*) OVER (PARTITION BY o_custkey) - 1 AS n_links FROM orders",
+    "links_customer_supplier": f"WITH post AS ({_CUST} UNION ALL {_SUPP}), g AS (SELECT id, list_sort(list(n || ':' || value)) AS k FROM post GROUP BY ALL), c AS (SELECT id, min(id) OVER (PARTITION BY k) AS class_id FROM g), p AS (SELECT a.id, count(DISTINCT b.id) - 1 AS n_links FROM post a JOIN post b USING (n, value) GROUP BY a.id) SELECT id, class_id, n_links FROM c JOIN p USING (id)",
     "links_boolean": "SELECT CAST(s_suppkey AS VARCHAR) AS id, min(CAST(s_suppkey AS VARCHAR)) OVER (PARTITION BY s_nationkey) AS class_id, count(*) OVER (PARTITION BY s_nationkey) - 1 AS n_links FROM supplier",
     "edges_weighted_sum": "WITH c AS (SELECT p_brand AS b, p_type AS t, min(CAST(p_partkey AS VARCHAR)) AS id FROM part GROUP BY ALL) SELECT x.id AS src, y.id AS dst, CASE WHEN x.b = y.b THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN x.t = y.t THEN 0.5::DOUBLE ELSE 0 END AS capacity FROM c x JOIN c y ON x.id < y.id AND (x.b = y.b OR x.t = y.t)",
     "edges_pooled": "WITH c AS (SELECT p_brand AS b, p_type AS t, min(CAST(p_partkey AS VARCHAR)) AS id FROM part GROUP BY ALL) SELECT x.id AS src, y.id AS dst, CAST(len(list_intersect([x.b, x.t], [y.b, y.t])) AS DOUBLE) AS capacity FROM c x JOIN c y ON x.id < y.id AND (x.b = y.b OR x.t = y.t)",

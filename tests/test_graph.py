@@ -61,6 +61,19 @@ def test_links_with_hot_values_and_without_pairs(spark):
     assert {r["id"]: r["n_links"] for r in record_links(ds, max_values=1).collect()} == want
 
 
+def test_links_of_wide_classes_among_hot_values(spark):
+    # 2,500 classes hold one value, and some have more values than inclusion and exclusion takes
+    rows = [(str(i), ["hot", str(i)] if i % 2 else [str(i)]) for i in range(5000)] + [(f"w{k}", ["hot"] * (k != 2) + [str(x) for x in range(100 * k, 100 * k + 20)]) for k in (0, 0, 1, 2)] + [("none", [])]
+    rows = [(f"{i}-{n}" if i == "w0" else i, v) for n, (i, v) in enumerate(rows)]
+    ds = SplitDataset(spark.createDataFrame([(*r, [1.0]) for r in rows], "id string, f array<string>, weights array<double>"), ("f",), ("f",))
+    got = {r["id"]: r["n_links"] for r in record_links(ds).collect()}
+    holders = {}
+    for i, v in rows:
+        for x in v:
+            holders.setdefault(x, set()).add(i)
+    assert got == {i: len(set().union(*[holders[x] for x in v]) - {i}) for i, v in rows}
+
+
 def test_completeness(spark):
     ds = SplitDataset(records(spark, [("a", ["x"]), ("b", ["x", "y"]), ("c", ["y", "x"])], "v"), ("v",), ("v",))
     assert tuple(gr.is_complete(ds).first()) == (3, 3, True)
