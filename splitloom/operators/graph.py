@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from splitloom.operators.components import components
 from splitloom.operators.dataset import SplitDataset, dense_index
 from splitloom.operators.edges import class_representatives, classes, record_links, shared_value_edges
-from splitloom.workspace import Workspace
+from splitloom.workspace import Workspace, join_per_key
 
 
 def factor_nodes(ds: SplitDataset, similar: DataFrame | None = None) -> DataFrame:
@@ -30,9 +30,14 @@ def gaussian_nodes(points: DataFrame, n: int, thresh: float) -> DataFrame:
     return near.join(points.select("id", F.col("x").alias("w")), "w").select(F.lit(n).alias("n"), F.col("v").cast("string").alias("value"), "id").distinct()
 
 
-def value_graph(postings: DataFrame) -> DataFrame:
-    """``(src, dst)``: records and values as vertices, one edge per posting. Components need no pairs of records."""
-    return postings.select(F.concat(F.lit("r"), F.col("id")).alias("src"), F.concat(F.lit("v"), F.col("n").cast("string"), F.lit(":"), F.col("value")).alias("dst"))
+def value_ties(postings: DataFrame) -> DataFrame:
+    """``(src, dst)``: every record of ``postings(n, value, id)`` tied to the smallest that holds the same value, one edge per posting.
+
+    Values are no vertices and no pairs of records are formed. A value that most records hold is met by broadcast.
+    """
+    keyed = postings.select(F.concat_ws(":", F.col("n").cast("string"), "value").alias("k"), "id")
+    first = keyed.groupBy("k").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    return join_per_key(keyed, first.select("k", "first"), "k", first.select("k", "n")).select(F.col("id").alias("src"), F.col("first").alias("dst"))
 
 
 def record_components(ds: SplitDataset, numbered: bool = True) -> DataFrame:
@@ -41,14 +46,14 @@ def record_components(ds: SplitDataset, numbered: bool = True) -> DataFrame:
     ``component_id`` numbers components from 0 by their root. A record without values is a component of its own.
     """
     ws = Workspace(ds.records.sparkSession, "records")
-    labels = components(value_graph(ds.postings()), ws)
-    found = labels.where(F.col("id").startswith("r")).select(F.expr("substring(id, 2)").alias("id"), F.expr("substring(component, 2)").alias("root"))
+    found = components(value_ties(ds.postings()), ws).withColumnRenamed("component", "root")
     out = ds.records.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     if not numbered:
         return out
     out = ws.write(out)
     roots = dense_index(out.select("root").distinct(), ["root"], "component_id", ws)
-    return out.join(roots, "root").select("id", "root", "component_id")
+    sizes = out.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    return join_per_key(out, roots, "root", sizes).select("id", "root", "component_id")
 
 
 def is_complete(ds: SplitDataset) -> DataFrame:

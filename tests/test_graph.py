@@ -16,11 +16,20 @@ def records(spark, rows, *fields):
     return spark.createDataFrame([(i, *v, [1.0]) for i, *v in rows], f"id string, {', '.join(f'{f} array<string>' for f in fields)}, weights array<double>")
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("local", [0, 150, 10**6])
+def test_components_equal_union_find(spark, local):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 6000 + i) for i in range(200)] + [(9, 9), (77777, 77777)]
     df = spark.createDataFrame([*edges, *[(b, a) for a, b in edges[:40]], (None, 3), (3, None)], "src long, dst long")
-    assert {r["id"]: r["component"] for r in components(df).collect()} == union_find(edges)
+    assert {r["id"]: r["component"] for r in components(df, local_edges=local).collect()} == union_find(edges)
+
+
+def test_local_components_of_texts_and_chains(spark):
+    names = [f"é{i:04d}" for i in range(3000)]
+    random.Random(3).shuffle(names)
+    edges = list(zip(names, names[1:])) + [("x", "x")]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {**dict.fromkeys(names, min(names)), "x": "x"}
 
 
 def test_components_of_nothing_and_of_loops(spark):
