@@ -24,7 +24,7 @@ def hash_to_min(edges: DataFrame, ws: Workspace | None = None, max_rounds: int =
     and reversed edges are allowed. Edges with a null end are dropped. An empty table gives an empty result.
     """
     ws = ws or Workspace(edges.sparkSession, "hashtomin")
-    edges = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
+    edges = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     pairs = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"))
     pairs = pairs.union(pairs.select("u", "v"))
     own = pairs.select("v", F.col("v").alias("u"))
@@ -43,16 +43,14 @@ def hash_to_min(edges: DataFrame, ws: Workspace | None = None, max_rounds: int =
     raise RuntimeError(f"no fixed point in {max_rounds} rounds")
 
 
-def ties(df: DataFrame) -> DataFrame:
-    """``(src, dst)``: every number that a row names tied to the smallest one of that row; a row with one number ties it to itself."""
+def named_numbers(df: DataFrame) -> DataFrame:
+    """``(chp, people, low)``: the chapter number of each row or null, the tagged numbers of its speakers and authors, and the smallest of these or null."""
 
     def tagged(c, kind: int):
         return F.transform(c, lambda x: x + F.lit(kind * _SHIFT))
 
-    chp = F.filter(F.array(spelled_number(F.col("chp_id"))), lambda x: x.isNotNull())
-    named = F.concat(tagged(spelled_numbers(F.col("spk_id")), SPEAKER), tagged(spelled_numbers(F.col("author_id")), AUTHOR), tagged(chp, CHAPTER))
-    rows = df.select(named.alias("named")).where(F.size("named") > 0).distinct()
-    return rows.select(F.explode("named").alias("src"), F.array_min("named").alias("dst")).distinct()
+    people = F.concat(tagged(spelled_numbers(F.col("spk_id")), SPEAKER), tagged(spelled_numbers(F.col("author_id")), AUTHOR))
+    return df.select(spelled_number(F.col("chp_id")).alias("chp"), people.alias("people")).select("chp", "people", F.array_min("people").alias("low"))
 
 
 def chapter_groups(df: DataFrame, ws: Workspace | None = None) -> DataFrame:
@@ -60,10 +58,24 @@ def chapter_groups(df: DataFrame, ws: Workspace | None = None) -> DataFrame:
 
     ``group_id`` is the smallest vertex of all that is tied to the chapter, ``group_spk`` the smallest speaker
     number among it or null. Rows without a chapter number tie, too; ids that spell no number tie nothing.
+
+    A chapter is no vertex: it hangs on the smallest person of its rows, and where its rows differ in that, the others are tied
+    to it. So the rounds run over speakers and authors only, and chapters get their group by one join.
     """
-    labels = hash_to_min(ties(df), ws)
-    rows = labels.where(F.col("id") >= CHAPTER * _SHIFT)
-    return rows.select((F.col("id") - F.lit(CHAPTER * _SHIFT)).alias("chp_id"), F.col("component").alias("group_id"), F.when(F.col("component") < _SHIFT, F.col("component")).alias("group_spk"))
+    ws = ws or Workspace(df.sparkSession, "chapters")
+    rows = ws.write(named_numbers(df).where("chp IS NOT NULL OR low IS NOT NULL"))
+    head = rows.where("chp IS NOT NULL").groupBy("chp").agg(F.min("low").alias("first"), F.max("low").alias("last"), F.count("low").alias("people"), F.count(F.lit(1)).alias("n"))
+    head, measured = ws.write_with(head, **size_measures())
+    within = rows.select(F.explode("people").alias("src"), F.col("low").alias("dst")).where("src <> dst")
+    # two rows of a chapter are tied by their first and last person; only chapters of more rows are looked up again
+    two = head.where("first < last").select(F.col("last").alias("src"), F.col("first").alias("dst"))
+    more = ws.write(head.where("first < last AND people > 2").select("chp", "first"))
+    across = join_per_key(rows.where("chp IS NOT NULL AND low IS NOT NULL").select("chp", "low"), more, "chp", head.select("chp", "n"), measured=measured)
+    labels = hash_to_min(within.union(two).union(across.where("low <> first").select("low", "first")), ws).select(F.col("id").alias("first"), "component")
+    out = join_per_key(head.select("chp", "first"), labels, "first", how="left")
+    group = F.coalesce("component", "first", F.col("chp") + F.lit(CHAPTER * _SHIFT))
+    out = out.select(F.col("chp").alias("chp_id"), group.alias("group_id"))
+    return out.select("chp_id", "group_id", F.when(F.col("group_id") < _SHIFT, F.col("group_id")).alias("group_spk"))
 
 
 def rendezvous(sizes: DataFrame, targets: dict[str, float], seed: int = 0, large: int = 1000) -> DataFrame:

@@ -26,7 +26,7 @@ def test_components_equal_union_find(spark, name, edges):
     want = union_find(edges)
     got = {r["id"]: r["component"] for r in hash_to_min(df).collect()}
     assert got == want
-    got = {r["id"]: r["component"] for r in contract_components(df).collect()}
+    got = {r["id"]: r["component"] for r in contract_components(df, local_edges=0 if name in ("random", "wheel and tails", "cycle") else 10**6).collect()}
     linked = {v for a, b in edges if a != b for v in (a, b)}
     assert set(got) == linked
     groups = {}
@@ -69,10 +69,28 @@ def test_rendezvous_shares(spark):
         rendezvous(sizes, {"train": 1, "test": 0})
 
 
-def test_match_groups(spark):
+def test_chapters_of_many_rows_and_hot_speakers(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(4000):
+        chp = "7" if i % 3 == 0 else str(rng.randrange(1, 2500))
+        rows.append((chp if rng.random() < 0.95 else None, [str(rng.randrange(1, 900)) for _ in range(rng.randrange(3))], [str(1 if i % 2 else rng.randrange(1, 500))] if rng.random() < 0.6 else None))
+    for tied in (rows[:150], rows):
+        edges, chapters = [], set()
+        for c, s, a in tied:
+            names = [("s", int(x)) for x in s or []] + [("t", int(x)) for x in a or []] + ([("u", int(c))] if c else [])
+            edges += [(names[0], n) for n in names]
+            chapters |= {int(c)} if c else set()
+        root = union_find(edges)
+        want = {c: root["u", c][1] if root["u", c][0] == "s" else None for c in chapters}
+        assert {r["chp_id"]: r["group_spk"] for r in chapter_groups(spark.createDataFrame(tied, SCHEMA)).collect()} == want
+
+
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_match_groups(spark, buckets):
     rec = spark.createDataFrame([("a", ["1", "s2"]), ("B ", ["2"]), ("c", None), ("d", ["77"]), ("e", ["5", "5"]), ("e", ["+5"]), ("f", ["05"]), (None, ["5"]), ("", ["5"]), ("g", ["0"])], "id string, spks array<string>").selectExpr("*", "1 AS src", "2 AS dst", "3 AS v")
     m = spark.createDataFrame([("C", " x"), ("X", "c"), ("d", "d"), ("y", "Z "), (None, "a"), ("", "a")], "left_id string, right_id string")
-    got = {r["id"]: r["group_id"] for r in match_groups(rec, m).collect()}
+    got = {r["id"]: r["group_id"] for r in match_groups(rec, m, buckets).collect()}
     assert got == {"A": "A", "B": "A", "C": "C", "X": "C", "E": "E", "F": "E", "Y": "Y", "Z": "Y"}
     none = spark.createDataFrame([], "id string, spks array<string>")
     assert match_groups(none, spark.createDataFrame([], "left_id string, right_id string")).count() == 0
