@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splitloom.llm.leak_search import find_leaks
+from splitloom.llm.leak_search import DRESSING, SHARED, find_leaks
 from splitloom.llm.subject_models import subject_areas
 from splitloom.llm.token_packing import pack_documents
 
@@ -28,6 +28,11 @@ def p7_item_report(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "eval_items").select("item_id", "kind").join(n, "item_id", "left").fillna(0, ["n_docs"])
 
 
+def p7_shared_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Items and documents that share a run of at least 20 words unchanged, common wording too: all that winnowing guarantees, against SQL."""
+    return find_leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"), SHARED).select("item_id", "doc_id").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(_table(spark, d, "documents")).where("item_tokens > 2048").select("doc_id").distinct()
 
@@ -57,7 +62,17 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return n.crossJoin(F.broadcast(docs)).select("subject", "n_docs", "words", (F.col("n_docs") / F.col("_all")).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_containers, p6_fill, p7_found, p7_item_report, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_containers, p6_fill, p7_found, p7_item_report, p7_shared_spans, p8_found, p8_composition)}
+
+
+def _runs(table: str, key: str) -> str:
+    """The hashes of all runs of 20 words of a table's texts."""
+    dressing = DRESSING.pattern.replace("'", "''")
+    return f"""(SELECT DISTINCT {key}, md5(array_to_string(t[i + 1 : i + 20], ' ')) AS h FROM (SELECT {key}, t, unnest(range(len(t) - 19)) AS i FROM
+(SELECT {key}, regexp_extract_all(lower(regexp_replace(text, '{dressing}', ' ', 'gi')), '[\\p{{L}}\\p{{N}}]+') AS t FROM {table} WHERE {key} IS NOT NULL)))"""
+
+
 SQL = {
+    "p7_shared_spans": f"SELECT DISTINCT item_id, doc_id FROM {_runs('eval_items', 'item_id')} JOIN {_runs('documents', 'doc_id')} USING (h)",
     "p6_found": r"""SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+')) > 2048""",
 }
