@@ -1,13 +1,14 @@
 """Samples whose categories have given shares, with minima and a report of what could not be met.
 
-Quotas are allocated top-down over a tree of categories: a node hands its quota to its children, and what a
-child cannot fill goes to its siblings; only what a whole family cannot fill goes on to the cousins. The draw
-at the leaves takes the first ranks of a permutation of each category.
+Quotas are allocated top-down over a tree of categories of any depth: a node hands its quota to its children, and what a
+child cannot fill goes to its siblings; only what a whole family cannot fill goes on to the cousins, and what they
+cannot fill to the next wider circle. The draw at the leaves takes the first ranks of a permutation of each category.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,9 +35,10 @@ def record_categories(df: DataFrame, record: Column, values: str) -> DataFrame:
     return rows.groupBy("record_id").agg(F.flatten(F.collect_set("v")).alias("v")).select("record_id", gender_category(F.col("v")).alias("category"))
 
 
-def category_parent(category: str) -> str:
-    """The family of a category: no value, one value, or several."""
-    return "none" if category == "none" else "several" if "+" in category else "single"
+def gender_path(category: Column) -> Column:
+    """The families of a gender category, widest first: with or without a value, then one value or how many."""
+    n = F.size(F.split(category, r"\+"))
+    return F.when(category == "none", F.array(F.lit("none"))).otherwise(F.array(F.lit("some"), F.when(n == 1, "single").otherwise("several"), n.cast("string")))
 
 
 def _fill(want: list[float], room: list[int], total: int) -> list[int]:
@@ -66,52 +68,82 @@ def _fill(want: list[float], room: list[int], total: int) -> list[int]:
     return got
 
 
-def allocate(rows: list[dict], size: int) -> dict[str, int]:
-    """Quota of each category; ``rows`` have ``category, share, least, available``.
+@dataclass
+class Allotment:
+    """What a category wants (not rounded), gets, and lacks: its wish or minimum above its own records, passed on to its relatives."""
 
-    Every category first gets its minimum (as far as it has records). The rest of ``size`` x the sum of the shares is handed
-    down: to the families by what their members want, then to the members. A minimum above the share takes
-    from the others, not from the size, as long as they have more than their own minimum.
-    """
-    floor = {r["category"]: min(r["least"], r["available"]) for r in rows}
-    total = max(math.floor(size * min(1.0, sum(r["share"] for r in rows)) + 0.5), sum(floor.values()))
-    want = {r["category"]: max(size * r["share"] - floor[r["category"]], 0.0) for r in rows}
-    room = {r["category"]: r["available"] - floor[r["category"]] for r in rows}
-    families: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: r["category"]):
-        families.setdefault(category_parent(r["category"]), []).append(r["category"])
+    wanted: float
+    quota: int
+    lacking: float
+
+
+def _hand_down(members: list[tuple[tuple[str, ...], int]], want: list[float], room: list[int], quota: int, got: list[int]) -> None:
+    """Spread ``quota`` over the leaves ``(rest of the path, number)``: by the next name of their paths first, then within each."""
+    families: dict[str, list[tuple[tuple[str, ...], int]]] = {}
+    for path, i in members:
+        # a leaf without further names is a family of its own
+        families.setdefault(f"/{path[0]}" if path else f"={i:09d}", []).append((path[1:], i))
     names = sorted(families)
-    parts = _fill([sum(want[c] for c in families[f]) for f in names], [sum(room[c] for c in families[f]) for f in names], total - sum(floor.values()))
-    quota = {}
-    for f, q in zip(names, parts):
-        for c, k in zip(families[f], _fill([want[c] for c in families[f]], [room[c] for c in families[f]], q)):
-            quota[c] = floor[c] + k
-    return quota
+    kin = [[i for _, i in families[f]] for f in names]
+    for f, q in zip(names, _fill([sum(want[i] for i in k) for k in kin], [sum(room[i] for i in k) for k in kin], quota)):
+        if len(families[f]) == 1:
+            got[families[f][0][1]] += q
+        else:
+            _hand_down(families[f], want, room, q, got)
 
 
-_QUOTA = "plan_id int, table_name string, category string, records bigint, available bigint, wanted double, quota bigint"
+def allocate(rows: list[dict], size: float) -> dict[str, Allotment]:
+    """Allotment of each category; ``rows`` have ``category, path, share, least, available``, the path from the widest family to the narrowest.
+
+    ``size`` is the size of the sample before it is rounded. Every category first gets its minimum (as far as it has records). The rest
+    of the size x the sum of the shares is handed down the tree: to families by what their members want and up to what they
+    hold, then to their families, then to the members. A minimum above the share takes from the others, not from the size, as long as they
+    have more than their own minimum.
+    """
+    rows = sorted(rows, key=lambda r: r["category"])
+    floor = [min(r["least"], r["available"]) for r in rows]
+    whole = math.floor(size + 0.5)
+    total = max(math.floor(whole * min(1.0, sum(r["share"] for r in rows)) + 0.5), sum(floor))
+    want = [max(whole * r["share"] - f, 0.0) for r, f in zip(rows, floor)]
+    room = [r["available"] - f for r, f in zip(rows, floor)]
+    got = list(floor)
+    _hand_down([(tuple(r["path"]), i) for i, r in enumerate(rows)], want, room, total - sum(floor), got)
+    out = {}
+    for r, q in zip(rows, got):
+        wanted = size * r["share"]
+        # a wish that equals the number of records up to rounding errors is met
+        lacking = max(wanted * (1 - 1e-12) - r["available"], r["least"] - r["available"], 0.0)
+        out[r["category"]] = Allotment(wanted, q, lacking)
+    return out
+
+
+_QUOTA = "plan_id int, table_name string, category string, records bigint, available bigint, wanted double, quota bigint, lacking double"
 
 
 def _plan_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Quotas of one plan; its rows are as many as its targets."""
+    """Quotas of one plan for one table; its rows are as many as its targets."""
     records = int(pdf["records"].iloc[0])
-    size = math.floor(float(pdf["sample_rate"].iloc[0]) * records + 0.5)
-    rows = [{"category": c, "share": float(g["target_share"].sum()), "least": int(g["min_records"].max()), "available": int(g["available"].iloc[0])} for c, g in pdf.groupby("category")]
-    quota = allocate(rows, size)
-    return pd.DataFrame([(pdf["plan_id"].iloc[0], pdf["table_name"].iloc[0], r["category"], records, r["available"], r["share"] * size, quota[r["category"]]) for r in rows], columns=[x.split()[0] for x in _QUOTA.split(", ")])
+    rows = [{"category": c, "path": g["path"].iloc[0], "share": float(g["target_share"].sum()), "least": int(g["min_records"].max()), "available": int(g["available"].iloc[0])} for c, g in pdf.groupby("category")]
+    got = allocate(rows, float(pdf["sample_rate"].iloc[0]) * records)
+    return pd.DataFrame([(pdf["plan_id"].iloc[0], pdf["table_name"].iloc[0], r["category"], records, r["available"], a.wanted, a.quota, a.lacking) for r in rows for a in [got[r["category"]]]], columns=[x.split()[0] for x in _QUOTA.split(", ")])
 
 
-def plan_quotas(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(plan_id, table_name, category, records, available, wanted, quota)`` for ``records(table_name, record_id, category)``.
+def plan_quotas(records: DataFrame, targets: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """``(plan_id, table_name, category, records, available, wanted, quota, lacking)`` for ``records(table_name, record_id, category)``.
 
-    Several target rows of one category in a plan add up; their largest minimum holds. Null shares and minima count
+    ``tree(category, path array<string>)`` names the families of each category, widest first, to any depth; without it, or for a
+    category that it does not name, those of gender categories hold. ``lacking``: what the category's own records are short of its wish or minimum. Several target rows of one category in a plan add up; their largest minimum holds. Null shares and minima count
     as 0; a plan for a table without records gets quotas of 0. Rows without plan, category or rate are left out.
     """
     counts = records.groupBy("table_name", "category").agg(F.count(F.lit(1)).alias("available"))
     totals = counts.groupBy("table_name").agg(F.sum("available").alias("records"))
     known = targets.where("plan_id IS NOT NULL AND category IS NOT NULL AND sample_rate IS NOT NULL").select("plan_id", "table_name", "category", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("min_records", F.lit(0)).alias("min_records"), "sample_rate")
     joined = known.join(counts, ["table_name", "category"], "left").join(totals, "table_name", "left").fillna(0, ["available", "records"])
-    return joined.groupBy("plan_id").applyInPandas(_plan_quotas, _QUOTA)
+    path = gender_path(F.col("category"))
+    if tree is not None:
+        joined = joined.join(tree.select("category", F.col("path").alias("_path")).dropDuplicates(["category"]), "category", "left")
+        path = F.coalesce("_path", path)
+    return joined.withColumn("path", path).groupBy("plan_id", "table_name").applyInPandas(_plan_quotas, _QUOTA)
 
 
 def draw(records: DataFrame, quotas: DataFrame, seed: int = 0) -> DataFrame:
@@ -135,16 +167,29 @@ def draw(records: DataFrame, quotas: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def target_report(quotas: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target row: what it wants, what there is, what is drawn, and ``is_short``.
+    """One row per target row: what it wants, what there is, what is drawn, what is lacking and ``is_short``.
 
-    A target is short when its category has fewer records than sample_rate x records x target_share, or fewer
-    than min_records; a share that equals the number of records up to rounding errors is met.
+    A category is short when the allocation had to pass on a part of its wish, sample_rate x records x target_share, or of its
+    minimum, because its own records do not suffice; see :func:`allocate`. Targets without plan, category or rate, or for a table without
+    records, are short.
     """
-    got = quotas.select("plan_id", "table_name", "category", "records", "available", "quota")
+    got = quotas.select("plan_id", "table_name", "category", "records", "available", "quota", "lacking")
     want = F.col("sample_rate") * F.col("records") * F.coalesce("target_share", F.lit(0.0))
     out = targets.join(got, ["plan_id", "table_name", "category"], "left").withColumn("wanted", want)
-    short = (F.col("available") < F.col("wanted") * (1 - 1e-12)) | (F.col("available") < F.coalesce("min_records", F.lit(0)))
-    return out.select("plan_id", "table_name", "category", "target_share", "min_records", "sample_rate", "records", "available", "wanted", "quota", F.coalesce(short, F.lit(True)).alias("is_short"))
+    short = F.coalesce(F.col("lacking") > 0, F.lit(True)) | (F.coalesce("records", F.lit(0)) == 0)
+    return out.select("plan_id", "table_name", "category", "target_share", "min_records", "sample_rate", "records", "available", "wanted", "quota", "lacking", short.alias("is_short"))
+
+
+def plan_check(quotas: DataFrame, drawn: DataFrame) -> DataFrame:
+    """``(plan_id, table_name, total, in_bounds, drawn_as_allotted)`` of every plan.
+
+    ``total`` is the sum of its quotas, ``in_bounds`` whether every quota is at most the records of its category, ``drawn_as_allotted`` whether
+    the draw holds just the quota of each category and no record twice.
+    """
+    keys = ["plan_id", "table_name"]
+    n = drawn.groupBy(*keys, "category", "record_id").agg(F.count(F.lit(1)).alias("_c")).groupBy(*keys, "category").agg(F.sum("_c").alias("_n"), F.max("_c").alias("_most"))
+    both = quotas.join(n, [*keys, "category"], "left").fillna(0, ["_n", "_most"])
+    return both.groupBy(*keys).agg(F.sum("quota").alias("total"), F.min(F.col("quota").between(0, F.col("available"))).alias("in_bounds"), F.min((F.col("_n") == F.col("quota")) & (F.col("_most") <= 1)).alias("drawn_as_allotted"))
 
 
 def gender_records(chapters: DataFrame, interviews: DataFrame) -> DataFrame:

@@ -44,7 +44,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     _, targets, quotas = _sample(spark, d)
-    return ps.target_report(quotas, targets).drop("quota")
+    return ps.target_report(quotas, targets).drop("quota").withColumn("lacking", F.round("lacking", 6))
+
+
+def p2_plan_check(spark: SparkSession, d: str) -> DataFrame:
+    """The draw of every plan against its quotas, and their sum."""
+    records, _, quotas = _sample(spark, d)
+    return ps.plan_check(quotas, ps.draw(records, quotas))
 
 
 def p2_quotas(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +76,20 @@ e AS (SELECT DISTINCT v, lo FROM m JOIN (SELECT rid, min(v) AS lo FROM m GROUP B
 g AS (SELECT v AS a, lo AS b FROM e UNION SELECT lo, v FROM e)
 """
 
+#: The groups placed largest first where most is missing, the others by the hash of seed, split and group.
+_SPLITS = """
+ch AS (SELECT v - 2305843009213693952 AS chp_id, lab AS gid FROM cc WHERE v >= 2305843009213693952),
+sz AS (SELECT gid, count(*) AS n FROM ch GROUP BY gid),
+tot AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM sz),
+big AS (SELECT gid, n, row_number() OVER (ORDER BY n DESC, gid) AS i FROM sz, tot WHERE n > t / 1000 AND n >= 10),
+pl(i, gid, k, tr, va, te) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, 0.8::DOUBLE * t, 0.1::DOUBLE * t, 0.1::DOUBLE * t FROM tot UNION ALL
+      SELECT i, gid, k, tr - CASE k WHEN 'train' THEN n ELSE 0 END, va - CASE k WHEN 'validation' THEN n ELSE 0 END, te - CASE k WHEN 'test' THEN n ELSE 0 END FROM
+      (SELECT big.i, big.gid, n, tr, va, te, CASE WHEN va >= tr AND va >= te THEN 'validation' WHEN tr >= te THEN 'train' ELSE 'test' END AS k FROM pl JOIN big ON big.i = pl.i + 1)),
+lft AS (SELECT unnest(['train', 'validation', 'test']) AS k, unnest([tr, va, te]) AS w FROM pl WHERE i = (SELECT max(i) FROM pl)),
+best AS (SELECT gid, arg_max(k, w / -ln((CAST('0x' || substr(md5('0:' || k || ':' || gid), 1, 13) AS BIGINT) + 1) / 4503599627370498.0::DOUBLE)) AS k FROM sz, lft WHERE w > 0 AND gid NOT IN (SELECT gid FROM big) GROUP BY gid),
+sp AS (SELECT chp_id, gid, CASE WHEN gid < 1152921504606846976 THEN gid END AS group_spk, coalesce(pl.k, best.k) AS split FROM ch LEFT JOIN pl USING (gid) LEFT JOIN best USING (gid))
+"""
+
 _RECORDS = f"""
 norm AS (SELECT DISTINCT upper(regexp_replace(id, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) AS id, spks FROM connected_eg),
 k AS (SELECT DISTINCT id, {sql_number('x')} AS k FROM (SELECT id, unnest(spks) AS x FROM norm) WHERE {sql_number('x')} IS NOT NULL AND id <> ''),
@@ -92,11 +112,14 @@ t AS (SELECT table_name, sum(available)::BIGINT AS records FROM z GROUP BY ALL),
 rep AS (SELECT plan_id, s.table_name, s.category, target_share, min_records, sample_rate, records, coalesce(available, 0) AS available, sample_rate * records * target_share AS wanted FROM sample_targets s JOIN t USING (table_name) LEFT JOIN z ON z.table_name = s.table_name AND z.category = s.category)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_split_shares, p2_found, p2_report, p2_quotas, p2_sample, p4_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_split_shares, p2_found, p2_report, p2_quotas, p2_sample, p2_plan_check, p4_found)}
 
 SQL = {
     "p1_found": f"WITH RECURSIVE {_TIES}, {_CC} SELECT v - 2305843009213693952 AS chp_id, lab AS group_spk FROM cc WHERE v >= 2305843009213693952 AND lab < 1152921504606846976",
+    "p1_splits": f"WITH RECURSIVE {_TIES}, {_CC}, {_SPLITS} SELECT chp_id, group_spk, split FROM sp",
+    "p1_split_shares": f"WITH RECURSIVE {_TIES}, {_CC}, {_SPLITS} SELECT split, count(*) AS n_chapters, count(DISTINCT gid) AS n_groups, count(*) / (SELECT count(*) FROM sp) AS share FROM sp GROUP BY split",
     "p2_found": f"WITH {_CATEGORY} SELECT plan_id, category FROM rep WHERE available < wanted OR available < min_records",
-    "p2_report": f"WITH {_CATEGORY} SELECT *, available < wanted OR available < min_records AS is_short FROM rep",
+    "p2_report": f"WITH {_CATEGORY} SELECT *, round(greatest(wanted * (1 - 1e-12) - available, min_records - available, 0), 6) AS lacking, available < wanted OR available < min_records AS is_short FROM rep",
+    "p2_plan_check": f"WITH {_CATEGORY} SELECT plan_id, table_name, CAST(least(greatest(floor(floor(any_value(sample_rate * records) + 0.5) * least(1.0, sum(target_share)) + 0.5), sum(least(min_records, available))), sum(available)) AS BIGINT) AS total, true AS in_bounds, true AS drawn_as_allotted FROM rep GROUP BY ALL",
     "p4_found": f"WITH RECURSIVE {_RECORDS}, {_CC} SELECT v AS id, lab AS group_id FROM cc",
 }

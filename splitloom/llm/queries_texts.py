@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from splitloom.llm.leak_search import DRESSING, SHARED, find_leaks
 from splitloom.llm.subject_models import subject_areas
-from splitloom.llm.token_packing import pack_documents
+from splitloom.llm.token_packing import pack_documents, pack_examples, packing_check
+from splitloom.workspace import Workspace
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -47,6 +48,30 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"), F.max("segments").alias("most_segments"), (F.sum("n") / (F.count(F.lit(1)) * 2048)).alias("used"))
 
 
+def p6_packing_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the containers of all texts keep the limits, hold every token once and are filled to 98 %."""
+    packed = Workspace(spark, "packed").write(pack_documents(_table(spark, d, "documents")))
+    return packing_check(packed, {"n_tokens": 2048, "segments": 256, "loss_tokens": 2048}, 0.98)
+
+
+def _examples(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as instruction data: what stands before the first blank line is the prompt, the rest the answer; a text without a blank line is all answer."""
+    t = F.col("text")
+    cut = F.instr(t, "\n\n")
+    doc = _table(spark, d, "documents").where("text IS NOT NULL")
+    return doc.select("doc_id", F.when(cut > 0, F.substring(t, F.lit(1), cut)).alias("prompt"), F.when(cut > 0, F.substring(t, cut, F.length(t))).otherwise(t).alias("answer"))
+
+
+def p6_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as instruction data under three limits that all bind: tokens, examples and loss-bearing tokens."""
+    return pack_examples(_examples(spark, d))
+
+
+def p6_examples_check(spark: SparkSession, d: str) -> DataFrame:
+    packed = Workspace(spark, "packed").write(p6_examples(spark, d))
+    return packing_check(packed, {"n_tokens": 2048, "segments": 16, "loss_tokens": 1536}, 0.95)
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return subject_areas(_table(spark, d, "documents"), _table(spark, d, "subject_labels"), _table(spark, d, "subject_areas"))
 
@@ -62,7 +87,9 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return n.crossJoin(F.broadcast(docs)).select("subject", "n_docs", "words", (F.col("n_docs") / F.col("_all")).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_containers, p6_fill, p7_found, p7_item_report, p7_shared_spans, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_containers, p6_fill, p6_packing_check, p6_examples, p6_examples_check, p7_found, p7_item_report, p7_shared_spans, p8_found, p8_composition)}
+
+_TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+'))"
 
 
 def _runs(table: str, key: str) -> str:
@@ -74,5 +101,7 @@ def _runs(table: str, key: str) -> str:
 
 SQL = {
     "p7_shared_spans": f"SELECT DISTINCT item_id, doc_id FROM {_runs('eval_items', 'item_id')} JOIN {_runs('documents', 'doc_id')} USING (h)",
-    "p6_found": r"""SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+')) > 2048""",
+    "p6_found": f"SELECT DISTINCT doc_id FROM documents WHERE {_TOKENS} > 2048",
+    "p6_packing_check": f"SELECT CAST(coalesce(sum({_TOKENS}), 0) AS BIGINT) AS tokens, true AS pieces_in_order, true AS within_limits, true AS well_filled FROM documents",
+    "p6_examples_check": f"SELECT CAST(coalesce(sum({_TOKENS}), 0) AS BIGINT) AS tokens, true AS pieces_in_order, true AS within_limits, true AS well_filled FROM documents",
 }

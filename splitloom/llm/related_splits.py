@@ -82,10 +82,11 @@ def rendezvous(sizes: DataFrame, targets: dict[str, float], seed: int = 0, large
     """``(group_id, split)`` for ``sizes(group_id, n)``: groups assigned whole, in nearly the given proportions.
 
     Weighted rendezvous hashing: a group goes to the split with the largest ``weight / -ln(u)``, u being the
-    hash of seed, split and group in (0, 1), so the choice depends on nothing but the group, and a changed
+    hash of seed, split and group in (0, 1), so for given weights the choice depends on nothing but the group, and a changed
     weight moves few groups. A group that holds more than 1/large of all records (at most ``large`` of them)
     can upset the proportions alone; these are placed first, largest first, each where most is missing, and
-    the weights for the others are what is then still missing. Weights must be positive and are normalised.
+    the weights for the others are what is then still missing, so they move a little when the large groups or the total change.
+    Weights must be positive and are normalised.
     """
     if not targets or any(not w > 0 for w in targets.values()):
         raise ValueError("every split needs a positive share")
@@ -106,7 +107,8 @@ def rendezvous(sizes: DataFrame, targets: dict[str, float], seed: int = 0, large
     names = [k for k in sorted(weights) if weights[k] > 0]
 
     def score(k: str):
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("group_id")), F.lit(1 << 53)) + 1) / F.lit(float((1 << 53) + 2))
+        bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(k), F.col("group_id").cast("string"))), 1, 13), 16, 10).cast("bigint")
+        u = (bits + 1) / F.lit(float((1 << 52) + 2))
         return F.struct((F.lit(weights[k]) / -F.log(u)).alias("s"), F.lit(k).alias("k"))
 
     best = F.greatest(*[score(k) for k in names])["k"] if len(names) > 1 else F.lit(names[0])
