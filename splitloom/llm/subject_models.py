@@ -2,9 +2,9 @@
 
 Names and words of a text are cut into words (camel case and underscores too). For every subject an interpolated
 bigram model is trained on hand-labelled documents; background models of all documents and of each
-language stand for what any file contains. A word speaks for a subject as far as its cross-entropy under that
-subject's model is below that of its backgrounds. A document gets every subject that enough of its words
-speak for, alone and beside its other subjects, with thresholds calibrated on held-out labels.
+language stand for what any file contains. A subject can be accepted for a document only if the cross-entropy of its words falls
+when the subject's model is mixed into the background. How many subjects are accepted is calibrated on held-out labels: by the number of
+words that speak for a subject, alone and beside those of the document's other subjects.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ class SubjectRules:
     per_subject: int = 200
     most_labelled: int = 2000
     #: Labelled documents longer than this are not used for training.
-    most_chars: int = 200_000
+    most_chars: int = 50_000
     #: Distinct labelled documents of a subject that must hold a word before it can speak for it.
     least_docs: int = 2
     #: Weight, in words, of the unigram model behind the bigrams and of the background behind the unigrams.
@@ -56,8 +56,8 @@ class SubjectRules:
     least_lift: float = 8.0
     #: Prior share of a subject's words in any text.
     prior: float = 0.06
-    #: Language groups with a background model of their own: the most frequent spellings of ``lang``.
-    languages: int = 40
+    #: Spellings of ``lang`` that this share of all documents has get a background model of their own (so at most 500 do), the others that of all.
+    language_share: float = 0.002
     #: Lower bound of the calibrated mass: labels name no document without a subject, so they cannot tell how much chance alone gives.
     least_mass: float = 1.25
 
@@ -77,16 +77,9 @@ def text_words(texts: Iterable[str]) -> list[bytes]:
     return np.insert(_BYTES[raw], cut, 32).tobytes().split()
 
 
-def skeleton(word: bytes) -> bytes:
-    """A word without its vowels, but for a first one: the short form that names use."""
-    return word[:1] + word[1:].translate(None, b"aeiou")
-
-
 def base(word: bytes) -> bytes:
-    """A word without a plural s or the x that some names add."""
-    if len(word) > 3 and word[-1:] in (b"s", b"x") and word[-2:-1] not in (b"s", b"x", b"u"):
-        return word[:-1]
-    return word
+    """A word without a plural s."""
+    return word[:-1] if len(word) > 3 and word[-1:] == b"s" and word[-2:-1] not in (b"s", b"u") else word
 
 
 @dataclass
@@ -101,24 +94,13 @@ class Vocabulary:
         held = Counter()
         for d in docs:
             held.update({base(w) for w in d})
-        words = sorted(w for w, n in held.items() if n >= least and len(w) > 2)
-        full: dict[bytes, bytes] = {}
-        for w in sorted(words, key=lambda w: (held[w], w)):
-            s = skeleton(w)
-            if s != w and len(s) >= 2:
-                full[s] = w
-        canon = {w: full.get(w, w) if skeleton(w) == w else w for w in words}
-        names = sorted(set(canon.values()))
-        at = {w: i for i, w in enumerate(names)}
-        number = {w: at[c] for w, c in canon.items()}
-        for s, w in full.items():
-            if len(s) >= 3:
-                number.setdefault(s, at[canon[w]])
+        number = {w: i for i, w in enumerate(sorted(w for w, n in held.items() if n >= least and len(w) > 2))}
+        size = len(number)
         for w, i in list(number.items()):
-            for end in (b"s", b"x", b"es"):
+            for end in (b"s", b"es"):
                 number.setdefault(w + end, i)
         number[_END] = -2
-        return Vocabulary(number, len(names))
+        return Vocabulary(number, size)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Word numbers; -1 for other words, -2 for the end of a text."""
@@ -160,18 +142,19 @@ class SubjectModel:
     mass: float = 3.0
     share: float = 0.25
 
-    def mass_of(self, ids: np.ndarray, groups: np.ndarray) -> np.ndarray:
-        """Words that speak for each subject, one row per text of ``ids`` (texts end with -2, ``groups`` has their languages).
+    def mass_of(self, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that speak for each subject, and the bits that each subject saves, one row per text of ``ids`` (texts end with -2, ``groups`` has their languages).
 
-        The weight of a word is its posterior: its probability under the subject's model against the larger of its
-        probabilities under the background of all documents and that of its text's language.
+        The background of a word is the larger of its probabilities under all documents and under its text's language. A word
+        speaks for a subject with its posterior. The bits are the fall of the text's cross-entropy, in all its
+        words, when the subject's model is mixed into the background with its prior share; words that no subject lifts change nothing.
         """
         ends = np.nonzero(ids == -2)[0]
         k = len(self.subjects)
         at = np.nonzero(ids >= 0)[0]
         at = at[self.telling[ids[at]]]
         if not len(at):
-            return np.zeros((len(ends), k))
+            return np.zeros((len(ends), k)), np.zeros((len(ends), k))
         text = np.searchsorted(ends, at)
         w = ids[at]
         v = np.where(at > 0, ids[np.maximum(at - 1, 0)], -1)
@@ -186,10 +169,11 @@ class SubjectModel:
             b[seen] += self.ground_bigram[place[seen]]
         own = p * self.prior
         z = own / (own.sum(1, keepdims=True) + b[:, None])
-        return np.stack([np.bincount(text, z[:, j], len(ends)) for j in range(k)], 1)
+        bits = np.log2(1 - self.prior + own / b[:, None])
+        return tuple(np.stack([np.bincount(text, x[:, j], len(ends)) for j in range(k)], 1) for x in (z, bits))
 
-    def accept(self, mass: np.ndarray) -> np.ndarray:
-        return (mass >= self.mass) & (mass >= self.share * mass.sum(1, keepdims=True))
+    def accept(self, mass: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        return (bits > 0) & (mass >= self.mass) & (mass >= self.share * mass.sum(1, keepdims=True))
 
 
 def pairs_of(ids: np.ndarray, n: int) -> np.ndarray:
@@ -265,22 +249,24 @@ def train(docs: list[tuple[np.ndarray, int, set[int]]], subjects: list[str], voc
 
 def calibrate(docs: list[tuple[np.ndarray, int, set[int]]], subjects: list[str], vocabulary: Vocabulary, background: Background, rules: SubjectRules = RULES) -> tuple[float, float]:
     """(mass, share) with the best F1 over labelled documents, each scored by a model that was trained without its fold."""
-    rows, truth = [], []
+    rows, saved, truth = [], [], []
     for f in range(rules.folds):
         held = [d for i, d in enumerate(docs) if i % rules.folds == f]
         rest = [d for i, d in enumerate(docs) if i % rules.folds != f]
         if held and rest:
             m = train(rest, subjects, vocabulary, background, rules)
-            rows.append(m.mass_of(np.concatenate([np.append(ids[ids != -2], -2) for ids, _, _ in held]), np.array([g for _, g, _ in held])))
+            mass, bits = m.mass_of(np.concatenate([np.append(ids[ids != -2], -2) for ids, _, _ in held]), np.array([g for _, g, _ in held]))
+            rows.append(mass)
+            saved.append(bits)
             truth += [[s in subs for s in range(len(subjects))] for _, _, subs in held]
     if not rows:
         return max(3.0, rules.least_mass), 0.25
-    mass, want = np.concatenate(rows), np.array(truth)
+    mass, want, saves = np.concatenate(rows), np.array(truth), np.concatenate(saved) > 0
     total = mass.sum(1, keepdims=True)
     best = (-1.0, 3.0, 0.25)
     for t in np.arange(rules.least_mass, 8.1, 0.25):
         for s in np.arange(0.04, 0.45, 0.02):
-            got = (mass >= t) & (mass >= s * total)
+            got = saves & (mass >= t) & (mass >= s * total)
             f1 = 2 * (got & want).sum() / max(1, got.sum() + want.sum())
             best = max(best, (round(float(f1), 4), float(t), float(s)))
     return best[1], best[2]
@@ -305,8 +291,10 @@ def _language(c: str = "lang"):
 
 
 def language_groups(documents: DataFrame, rules: SubjectRules = RULES) -> dict[str, int]:
-    """Numbers, from 1, of the most frequent languages; every other is 0."""
-    rows = documents.groupBy(_language().alias("l")).count().orderBy(F.desc("count"), "l").limit(rules.languages).collect()
+    """Numbers, from 1, of the languages that enough documents have; every other is 0."""
+    counts = documents.groupBy(_language().alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.broadcast(counts.agg(F.sum("n").alias("_all")))
+    rows = counts.crossJoin(total).where(F.col("n") >= rules.language_share * F.col("_all")).orderBy(F.desc("n"), "l").collect()
     return {r["l"]: i + 1 for i, r in enumerate(rows)}
 
 
@@ -385,13 +373,13 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, rules: Subjec
 
 
 def assign(documents: DataFrame, model: SubjectModel, groups: dict[str, int]) -> DataFrame:
-    """``(doc_id, subject, mass, share)``: one row per document and accepted subject.
+    """``(doc_id, subject, mass, share, bits)``: one row per document and accepted subject.
 
     ``mass`` is the number of words that speak for the subject, ``share`` its part of all such words of the
-    document. Null and empty texts have no subject. Repeated rows of a document give repeated results.
+    document, ``bits`` what its model saves of the cross-entropy per word. Null and empty texts have no subject. Repeated rows of a document give repeated results.
     """
     sent = documents.sparkSession.sparkContext.broadcast((model, groups))
-    schema = T.StructType([documents.schema["doc_id"], T.StructField("subject", T.StringType()), T.StructField("mass", T.DoubleType()), T.StructField("share", T.DoubleType())])
+    schema = T.StructType([documents.schema["doc_id"], T.StructField("subject", T.StringType()), T.StructField("mass", T.DoubleType()), T.StructField("share", T.DoubleType()), T.StructField("bits", T.DoubleType())])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, of = sent.value
@@ -399,9 +387,11 @@ def assign(documents: DataFrame, model: SubjectModel, groups: dict[str, int]) ->
         for pdf in batches:
             docs = pdf["doc_id"].to_numpy()
             for rows, texts, g in _chunks(pdf, of):
-                mass = m.mass_of(m.vocabulary.numbers(text_words(texts)), g)
-                at, s = np.nonzero(m.accept(mass))
-                yield pd.DataFrame({"doc_id": docs[rows[at]], "subject": names[s], "mass": mass[at, s], "share": mass[at, s] / mass.sum(1)[at]})
+                ids = m.vocabulary.numbers(text_words(texts))
+                mass, bits = m.mass_of(ids, g)
+                length = np.diff(np.concatenate(([-1], np.nonzero(ids == -2)[0]))) - 1
+                at, s = np.nonzero(m.accept(mass, bits))
+                yield pd.DataFrame({"doc_id": docs[rows[at]], "subject": names[s], "mass": mass[at, s], "share": mass[at, s] / mass.sum(1)[at], "bits": bits[at, s] / length[at]})
 
     return documents.select("doc_id", "text", _language().alias("_lang")).where(F.length("text") > 0).mapInPandas(score, schema)
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from splitloom.llm.subject_models import SubjectRules, Vocabulary, base, skeleton, subject_areas, text_words
+from splitloom.llm.subject_models import SubjectRules, Vocabulary, base, language_groups, subject_areas, text_words
 from tests.conftest import DATA
 
 DOCS = "doc_id long, text string, lang string"
@@ -26,9 +26,14 @@ def corpus(n=300, seed=1):
 
 def test_words():
     assert text_words(["fooBar_baz42Q", "É\x01té"]) == [b"foo", b"bar", b"baz", b"q", b"\x01", b"e", b"te", b"\x01"]
-    assert base(b"moons") == b"moon" and base(b"glass") == b"glass" and skeleton(b"skillet") == b"skllt"
-    v = Vocabulary.of([[b"skillet", b"pan"], [b"skillets", b"pans"], [b"skllt"], [b"skllt"]])
-    assert v.number[b"skllt"] == v.number[b"skillet"] == v.number[b"skillets"]
+    assert base(b"moons") == b"moon" and base(b"glass") == b"glass"
+    v = Vocabulary.of([[b"skillet", b"pan"], [b"skillets", b"pans"], [b"once"]])
+    assert v.number[b"skillet"] == v.number[b"skillets"] and b"once" not in v.number and v.size == 2
+
+
+def test_language_groups(spark):
+    df = spark.createDataFrame([(i, "", "a" if i < 500 else "B " if i < 998 else f"rare{i}") for i in range(1000)], DOCS)
+    assert language_groups(df) == {"a": 1, "b": 2}
 
 
 def test_held_out_accuracy(spark):
@@ -43,6 +48,7 @@ def test_held_out_accuracy(spark):
     tp = sum(len(got.get(d, set()) & truth[d]) for d in held)
     assert tp / sum(len(got.get(d, set())) for d in held) > 0.95 and tp / sum(len(truth[d]) for d in held) > 0.95
     assert not {500, 501, 502} & set(got)
+    assert all(r["bits"] > 0 for r in out)
 
 
 def test_without_labels_or_documents(spark):
