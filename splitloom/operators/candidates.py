@@ -7,9 +7,14 @@ with bitwise aggregates decides all of them for a record.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splitloom.operators.dataset import SplitDataset, flat_values
+
 #: Candidates in a block: 15 hex digits of an md5.
 BLOCK = 60
 FULL = (1 << BLOCK) - 1
@@ -53,14 +58,77 @@ def packed_sides(postings: DataFrame, masks: DataFrame, n_factors: int) -> DataF
 
 
 def unpack_members(sides: DataFrame, n_candidates: int) -> DataFrame:
-    """``(cand_id, id, side)`` for records on a side of a candidate."""
-    j = F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1)))
-    out = sides.where("train <> 0 OR held <> 0").withColumn("j", j)
+    """``(cand_id, id, side, ...)`` for records on a side of a candidate, with what other columns ``sides`` has."""
+    more = [c for c in sides.columns if c not in ("block", "id", "train", "held")]
+    # no condition on the masks before they are unpacked: it would be pushed below the expressions that make them, which would run twice
+    out = sides.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(min(BLOCK, n_candidates) - 1))))
     side = F.expr("CASE WHEN shiftright(train, j) & 1 = 1 THEN 0 WHEN shiftright(held, j) & 1 = 1 THEN 1 END")
-    out = out.select((F.col("block") * BLOCK + F.col("j")).cast("bigint").alias("cand_id"), "id", side.alias("side"))
+    out = out.select((F.col("block") * BLOCK + F.col("j")).cast("bigint").alias("cand_id"), "id", side.alias("side"), *more)
     return out.where((F.col("cand_id") < n_candidates) & F.col("side").isNotNull())
 
 
+@dataclass(frozen=True)
+class PackedSides:
+    """Members of candidates as packed sides ``(block, id, train, held)``: fields of the records join one row per block, not one per candidate."""
+
+    sides: DataFrame
+    n_candidates: int
+
+    def fields(self, records: DataFrame, cols: list[Column]) -> DataFrame:
+        """``(cand_id, id, side, cols)`` for every member."""
+        return unpack_members(self.sides.join(records.select("id", *cols), "id"), self.n_candidates)
+
+    def unpack(self) -> DataFrame:
+        return unpack_members(self.sides, self.n_candidates)
+
+
+@dataclass(frozen=True)
+class RandomSides:
+    """Members of random candidates, decided inside each record's row: the choice of a value is a hash, so nothing is joined or shuffled.
+
+    The same sides as :func:`packed_sides` over :func:`random_masks`. Ids are unique.
+    """
+
+    ds: SplitDataset
+    n_candidates: int
+    seed: int
+
+    def packed(self, records: DataFrame, cols: list[Column]) -> DataFrame:
+        """``(block, id, train, held, cols)``."""
+        values = [F.transform(flat_values(self.ds.records, f), lambda x: x.cast("string")) for f in self.ds.factors]
+        rows = records.select("id", *cols, *[v.alias(f"_v{n}") for n, v in enumerate(values)])
+        more = [c for c in rows.columns if not c.startswith("_v")]
+        for n in range(len(values)):
+            rows = rows.where(F.size(f"_v{n}") > 0)
+        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(-(-self.n_candidates // BLOCK) - 1).cast("bigint"))))
+        al, an = F.lit(FULL).cast("bigint"), F.lit(0).cast("bigint")
+        for n in range(len(values)):
+            rows = rows.withColumn(f"_v{n}", F.transform(f"_v{n}", partial(md5_mask, self.seed, F.col("block"), F.lit(n))))
+            al = al.bitwiseAND(F.aggregate(f"_v{n}", F.lit(FULL).cast("bigint"), lambda a, x: a.bitwiseAND(x)))
+            an = an.bitwiseOR(F.aggregate(f"_v{n}", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x)))
+        return rows.select(*more, "block", al.alias("train"), F.lit(FULL).cast("bigint").bitwiseAND(F.bitwise_not(an)).alias("held"))
+
+    def fields(self, records: DataFrame, cols: list[Column]) -> DataFrame:
+        """``(cand_id, id, side, cols)`` for every member; ``records`` are those of the dataset."""
+        return unpack_members(self.packed(records, cols), self.n_candidates)
+
+    def unpack(self) -> DataFrame:
+        return self.fields(self.ds.records, [])
+
+    def only(self, cand_id: int) -> DataFrame:
+        """``(id, side)`` of one candidate."""
+        of = self.packed(self.ds.records, []).where(F.col("block") == cand_id // BLOCK)
+        bit = [F.expr(f"(shiftright({c}, {cand_id % BLOCK}) & 1) = 1") for c in ("train", "held")]
+        return of.select("id", F.when(bit[0], 0).when(bit[1], 1).alias("side")).where("side IS NOT NULL")
+
+
+def with_fields(members, records: DataFrame, *cols: Column) -> DataFrame:
+    """``(cand_id, id, side, cols)``: columns of the records beside every member; ``members(cand_id, id, side)`` or packed."""
+    if isinstance(members, DataFrame):
+        return members.join(records.select("id", *cols), "id")
+    return members.fields(records, list(cols))
+
+
 def plain_members(postings: DataFrame, bits: DataFrame, n_factors: int) -> DataFrame:
     """The same from ``bits(cand_id, n, value, bit)``, one row per candidate and posting."""
     hit = postings.select("n", "value", "id").join(bits, ["n", "value"])

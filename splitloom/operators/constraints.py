@@ -1,8 +1,8 @@
 """Constraint scores of many candidate splits at once.
 
-``members(cand_id, id, side)`` says which records a candidate puts on side 0 (train) or 1 (held out). Numeric constraints
-are reduced to one number per record without a shuffle, then all of them and all candidates are aggregated in one
-group-by; distributions take one more, over values.
+``members(cand_id, id, side)`` says which records a candidate puts on side 0 (train) or 1 (held out); packed members
+(``candidates``) are unpacked beside the fields they need, so no row per candidate and record is shuffled. Numeric constraints
+are reduced to one number per record, then all of them and all candidates are aggregated in one group-by; distributions take one more, over values.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from splitloom.config import ConstraintSpec
+from splitloom.operators.candidates import with_fields
 from splitloom.operators.dataset import SplitDataset, flat_values
 
 #: Score of a candidate with an empty side (fixed value).
@@ -101,15 +102,22 @@ def _divergence(p: Column, q: Column, direction: str) -> Column:
     raise ValueError(f"unknown direction {direction}")
 
 
+def _value_rows(ds: SplitDataset, n: int, members) -> DataFrame:
+    """``(cand_id, side, value, w)``: the values of constraint ``n`` of every member with their weights."""
+    rows = with_fields(members, ds.records, ds.constraint_values(n).alias("_z")).select("cand_id", "side", F.explode("_z").alias("_z"))
+    return rows.select("cand_id", "side", F.col("_z.value").alias("value"), (F.col("_z.weight") if ds.weighting == "weighted" else F.lit(1.0)).alias("w"))
+
+
 def _value_sums(ds: SplitDataset, n: int, members: DataFrame, vocab: list | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The vocabulary, the weights of its values on both sides ``(cand_id, value, w0, w1)``, and ``(cand_id, t0, t1)`` over all values."""
-    rows = ds.constraint_rows(n).select("id", F.col("value"), (F.col("weight") if ds.weighting == "weighted" else F.lit(1.0)).alias("w"))
+    rows = _value_rows(ds, n, members)
     if vocab is not None:
         words = ds.records.sparkSession.createDataFrame([(v,) for v in vocab], T.StructType([T.StructField("value", rows.schema["value"].dataType)]))
     else:
         words = ds.vocabulary(n)
     words = words.distinct()
-    sums = members.join(rows, "id").join(words, "value", "left_semi").groupBy("cand_id", "value").agg(F.sum(F.when(F.col("side") == 0, F.col("w"))).alias("w0"), F.sum(F.when(F.col("side") == 1, F.col("w"))).alias("w1"))
+    # the vocabulary meets sums per candidate and value, not their rows
+    sums = rows.groupBy("cand_id", "value").agg(F.sum(F.when(F.col("side") == 0, F.col("w"))).alias("w0"), F.sum(F.when(F.col("side") == 1, F.col("w"))).alias("w1")).join(words, "value", "left_semi")
     return words, sums, sums.groupBy("cand_id").agg(F.sum("w0").alias("t0"), F.sum("w1").alias("t1"))
 
 
@@ -154,8 +162,7 @@ def _kl_scores(ds: SplitDataset, n: int, spec: ConstraintSpec, members: DataFram
 
 def entropy_stats(ds: SplitDataset, n: int, members: DataFrame) -> DataFrame:
     """``(cand_id, side, stat)``: 1 + sum(p ln p) / ln k over the k values seen on a side; 1 (the worst) if there is one value only."""
-    rows = ds.constraint_rows(n).select("id", "value", (F.col("weight") if ds.weighting == "weighted" else F.lit(1.0)).alias("w"))
-    sums = members.join(rows, "id").groupBy("cand_id", "side", "value").agg(F.sum("w").alias("w"))
+    sums = _value_rows(ds, n, members).groupBy("cand_id", "side", "value").agg(F.sum("w").alias("w"))
     # sum(p ln p) = sum(w ln w) / W - ln W needs no second pass for the total
     per = sums.where("w > 0").groupBy("cand_id", "side").agg(F.sum("w").alias("t"), F.sum(F.col("w") * F.ln("w")).alias("wl"), F.count(F.lit(1)).alias("k"))
     return per.select("cand_id", "side", F.when(F.col("k") > 1, 1.0 + (F.col("wl") / F.col("t") - F.ln("t")) / F.ln(F.col("k").cast("double"))).otherwise(1.0).alias("stat"))
@@ -172,12 +179,12 @@ register("kl_tuple", Constraint("values", "distribution", _kl_scores))
 register("max_entropy", Constraint("values", "entropy", _entropy_scores))
 
 
-def _numeric(ds: SplitDataset, specs: tuple[ConstraintSpec, ...]) -> tuple[DataFrame, list[int]]:
-    """``(id, _w, r0, r1, ...)`` with one reduced number per numeric constraint."""
+def _numeric(ds: SplitDataset, specs: tuple[ConstraintSpec, ...]) -> tuple[list[Column], list[int]]:
+    """``_w, r0, r1, ...``: one reduced number per numeric constraint, and which these are."""
     at = [i for i, s in enumerate(specs) if constraint(s.name).kind == "numeric"]
     cols = [reduce_values(ds.records, ds.constraints[i], specs[i].reduction, ds.weighting).alias(f"r{i}") for i in at]
     w = F.aggregate(F.coalesce("weights", F.array(F.lit(1.0))), F.lit(0.0), lambda s, x: s + x) if ds.weighting == "weighted" else F.lit(1.0)
-    return ds.records.select("id", w.alias("_w"), *cols), at
+    return [w.alias("_w"), *cols], at
 
 
 def side_stats(ds: SplitDataset, specs: tuple[ConstraintSpec, ...], members: DataFrame) -> DataFrame:
@@ -190,7 +197,7 @@ def side_stats(ds: SplitDataset, specs: tuple[ConstraintSpec, ...], members: Dat
             aggs.append((F.sum(w * r) / F.sum(F.when(r.isNotNull(), w))).alias(f"stat{i}"))
         else:
             aggs.append(F.coalesce(F.sum(r), F.lit(0.0)).alias(f"stat{i}"))
-    out = members.join(reduced, "id").groupBy("cand_id", "side").agg(*aggs)
+    out = with_fields(members, ds.records, *reduced).groupBy("cand_id", "side").agg(*aggs)
     for i, s in enumerate(specs):
         if s.name == "max_entropy":
             out = out.join(entropy_stats(ds, i, members).withColumnRenamed("stat", f"stat{i}"), ["cand_id", "side"], "left")
@@ -207,8 +214,7 @@ def constraint_scores(ds: SplitDataset, specs: tuple[ConstraintSpec, ...], membe
         raise ValueError("one constraint for each constraint field")
     weights = weights or (1.0,) * len(specs)
     numeric = [i for i, s in enumerate(specs) if constraint(s.name).kind == "numeric"]
-    only = tuple(specs) if len(numeric) == len(specs) else specs
-    stats = side_stats(ds, tuple(s if s.name != "max_entropy" else ConstraintSpec("kl", s.values, s.reduction) for s in only), members)
+    stats = side_stats(ds, tuple(s if s.name != "max_entropy" else ConstraintSpec("kl", s.values, s.reduction) for s in specs), members)
     wide = stats.groupBy("cand_id").agg(
         *[F.coalesce(F.max(F.when(F.col("side") == s, F.col("length"))), F.lit(0)).alias(f"n{s}") for s in (0, 1)],
         *[F.max(F.when(F.col("side") == s, F.col(f"stat{i}"))).alias(f"s{i}_{s}") for i in numeric for s in (0, 1)],

@@ -52,7 +52,7 @@ def dense_index(df: DataFrame, order: list[str], name: str = "index", ws: Worksp
 
 @dataclass(frozen=True)
 class SplitDataset:
-    """Records and the roles of their fields. ``weighting`` none: constraints are plain statistics; weighted: records count by their weights."""
+    """Records, one for each id, and the roles of their fields. ``weighting`` none: constraints are plain statistics; weighted: records count by their weights."""
 
     records: DataFrame
     fields: tuple[str, ...]
@@ -96,13 +96,17 @@ class SplitDataset:
             kept = kept.crossJoin(F.broadcast(total)).withColumn("weights", F.transform("weights", lambda x: x / F.col("_total"))).drop("_total")
         return self._with(kept)
 
+    def posting_array(self, fields: tuple[str, ...] | None = None) -> Column:
+        """``array<struct(n, field, value)>`` of a record: its distinct values of each factor (n counts factors from 0). Values are texts."""
+
+        def named(i: int, f: str) -> Column:
+            return F.transform(flat_values(self.records, f), lambda x: F.struct(F.lit(i).alias("n"), F.lit(f).alias("field"), x.cast("string").alias("value")))
+
+        return F.concat(*[named(i, f) for i, f in enumerate(fields or self.factors)])
+
     def postings(self, fields: tuple[str, ...] | None = None) -> DataFrame:
-        """``(n, field, value, id)``: one row per record and distinct value of each factor (n counts factors from 0). Values are texts."""
-        parts = [self.records.select(F.lit(i).alias("n"), F.lit(f).alias("field"), F.explode(F.transform(flat_values(self.records, f), lambda x: x.cast("string"))).alias("value"), "id") for i, f in enumerate(fields or self.factors)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        """``(n, field, value, id)``: one row per record and distinct value of each factor, from one pass over the records."""
+        return self.records.select(F.explode(self.posting_array(fields)).alias("p"), "id").select("p.n", "p.field", "p.value", "id")
 
     def values(self) -> DataFrame:
         """``(n, value, pos, n_records)``: distinct values of each factor in rising order (numbers by number), positions from 0."""
@@ -117,8 +121,8 @@ class SplitDataset:
         """``(n, value, n_records, first_id, last_id)`` for the values of the named fields; the records themselves are the postings."""
         return self.postings(fields).groupBy("n", "value").agg(F.count(F.lit(1)).alias("n_records"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
-    def constraint_rows(self, n: int) -> DataFrame:
-        """``(id, value, weight)``: one row per record and value of constraint ``n``, component members with their own weights.
+    def constraint_values(self, n: int) -> Column:
+        """``array<struct(value, weight)>`` of a record: the values of constraint ``n``, component members with their own weights.
 
         A record's weight applies to each of its values. A component has one set of values and one weight for each member.
         """
@@ -126,10 +130,14 @@ class SplitDataset:
         kind = self.records.schema[f].dataType
         one = F.coalesce(F.col("weights"), F.array(F.lit(1.0)))
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):
-            zipped = F.arrays_zip(F.col(f).alias("vs"), one.alias("w"))
-            return self.records.select("id", F.explode(zipped).alias("z")).select("id", F.explode("z.vs").alias("value"), F.col("z.w").alias("weight"))
+            return F.flatten(F.zip_with(f, one, lambda vs, w: F.transform(F.coalesce(vs, F.array().cast(kind.elementType)), lambda v: F.struct(v.alias("value"), w.alias("weight")))))
         total = F.aggregate(one, F.lit(0.0), lambda a, x: a + x)
-        return self.records.select("id", F.explode(flat_values(self.records, f)).alias("value"), total.alias("weight"))
+        return F.transform(flat_values(self.records, f), lambda v: F.struct(v.alias("value"), total.alias("weight")))
+
+    def constraint_rows(self, n: int) -> DataFrame:
+        """``(id, value, weight)``: one row per record and value of constraint ``n``."""
+        rows = self.records.select("id", F.explode(self.constraint_values(n)).alias("z"))
+        return rows.select("id", F.col("z.value").alias("value"), F.col("z.weight").alias("weight"))
 
     def vocabulary(self, n: int) -> DataFrame:
         """``(value)``: sorted distinct values of a constraint field."""

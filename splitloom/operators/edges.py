@@ -58,7 +58,8 @@ def pooled_edges(reps: DataFrame, fields: tuple[str, ...], weight: float = 1.0)
     return shared_value_edges(reps.select("class_id", pool.alias("pool")), ("pool",), (weight,))
 
 
-def _tagged(n: int):
+def tagged(n: int):
+    """Values of factor ``n`` as texts that no other factor has."""
     return lambda x: F.concat(F.lit(f"{n}:"), x.cast("string"))
 
 
@@ -72,7 +73,7 @@ def record_links(ds: SplitDataset, max_values: int = 10) -> DataFrame:
     """
     ws = Workspace(ds.records.sparkSession, "links")
     member = ws.write(classes(ds).select("id", "class_id", "class_size"))
-    tags = F.concat(*[F.transform(f, _tagged(n)) for n, f in enumerate(ds.factors)])
+    tags = F.concat(*[F.transform(f, tagged(n)) for n, f in enumerate(ds.factors)])
     reps, seen = ws.write_with(class_representatives(ds).select("class_id", "class_size", tags.alias("tags")), most=F.coalesce(F.max(F.size("tags")), F.lit(0)))
     choice = F.explode(F.expr("sequence(1L, shiftleft(1L, size(tags)) - 1)"))
     sets = reps.where((F.size("tags") > 0) & (F.size("tags") <= max_values)).withColumn("c", choice)

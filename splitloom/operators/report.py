@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitloom.config import ConstraintSpec
 from splitloom.operators.constraints import WORST_SCORE, side_stats
 from splitloom.operators.dataset import SplitDataset
+from splitloom.workspace import Workspace, join_per_key, size_measures
+
+
+def _keyed(postings: DataFrame) -> DataFrame:
+    """``(k, n, id, ...)``: factor and value as one key."""
+    return postings.withColumn("k", F.concat_ws(":", F.col("n").cast("string"), "value"))
+
+
+
+
+def _bits(w: int) -> Column:
+    """The numbers from 63 w on whose bits ``b<w>`` has."""
+    return F.filter(F.sequence(F.lit(63 * w), F.lit(63 * w + 62)), lambda a: F.call_function("shiftright", F.col(f"b{w}"), a - 63 * w).bitwiseAND(F.lit(1)) == 1)
 
 
 def overlap_test_sets(ds: SplitDataset, assignment: DataFrame) -> DataFrame:
@@ -16,14 +29,18 @@ def overlap_test_sets(ds: SplitDataset, assignment: DataFrame) -> DataFrame:
     ``assignment(id, side)``. Digit n of the class (first factor first) is 0 if the record shares a value of factor n with the
     train side and 1 if not; a record without values in a factor shares none.
     """
-    postings = ds.postings().select("n", "value", "id")
-    train_values = postings.join(assignment.where("side = 0").select("id"), "id", "left_semi").select("n", "value").distinct()
-    rest = postings.join(assignment.select("id"), "id", "left_anti")
-    touched = rest.join(train_values, ["n", "value"], "left_semi").groupBy("id").agg(F.expr("bit_or(shiftleft(1L, n))").alias("m"))
-    left = ds.records.select("id").join(assignment.select("id"), "id", "left_anti").join(touched, "id", "left").fillna(0, ["m"])
+    ws = Workspace(ds.records.sparkSession, "overlap")
+    sides = assignment.select("id", F.col("side").cast("int").alias("side"))
+    # records and assignment are evaluated once
+    rows = ws.write(ds.records.select("id", ds.posting_array().alias("p")).join(sides, "id", "left"))
+    keyed = _keyed(rows.select("id", "side", F.explode("p").alias("p")).select("id", "side", "p.n", "p.value"))
+    per, measured = ws.write_with(keyed.groupBy("k").agg(F.max(F.col("side") == 0).alias("train"), F.count(F.lit(1)).alias("n")), **size_measures())
+    rest = keyed.where("side IS NULL").select("k", F.col("n").alias("f"), "id")
+    touched = join_per_key(rest, per.where("train").select("k"), "k", per.select("k", "n"), measured=measured).groupBy("id").agg(F.expr("bit_or(shiftleft(1L, f))").alias("m"))
+    left = rows.where("side IS NULL").select("id").join(touched, "id", "left").fillna(0, ["m"])
     k = len(ds.factors)
     digits = F.concat(*[F.when(F.expr(f"shiftright(m, {n}) & 1 = 1"), "0").otherwise("1") for n in range(k)])
-    return assignment.select("id", F.col("side").cast("int").alias("split")).unionByName(left.select("id", (F.conv(digits, 2, 10).cast("int") + 2).alias("split")))
+    return rows.where("side IS NOT NULL").select("id", F.col("side").alias("split")).unionByName(left.select("id", (F.conv(digits, 2, 10).cast("int") + 2).alias("split")))
 
 
 def overlap_stats(ds: SplitDataset, partition: DataFrame) -> DataFrame:
@@ -31,10 +48,17 @@ def overlap_stats(ds: SplitDataset, partition: DataFrame) -> DataFrame:
 
     The share, rounded to 4 digits, of the records of ``split_b`` that have a value of the factor that also occurs in ``split_a``.
     """
-    postings = ds.postings().join(partition.select("id", "split"), "id")
-    held = postings.select("n", "value", F.col("split").alias("split_a")).distinct()
-    hit = postings.join(held, ["n", "value"]).where("split <> split_a").select("split_a", F.col("split").alias("split_b"), "field", "id").distinct()
-    counts = hit.groupBy("split_a", "split_b", "field").agg(F.count(F.lit(1)).alias("n_overlap"))
+    ws = Workspace(ds.records.sparkSession, "overlap")
+    keyed = ws.write(_keyed(ds.postings()).select("k", "field", "id").join(partition.select("id", "split"), "id"))
+    # the splits that hold a value, 2 + 2 ** factors at most, as bits of as many numbers as it takes
+    words = range(-(-(2 + 2 ** len(ds.factors)) // 63))
+    bits = [F.when(F.floor(F.col("split") / 63) == w, F.expr("shiftleft(1L, cast(split % 63 as int))")).otherwise(F.lit(0).cast("bigint")).alias(f"b{w}") for w in words]
+    either = [F.bit_or(f"b{w}").alias(f"b{w}") for w in words]
+    per, measured = ws.write_with(keyed.select("k", *bits).groupBy("k").agg(*either, F.count(F.lit(1)).alias("n")), **size_measures())
+    met = join_per_key(keyed, per.drop("n"), "k", per.select("k", "n"), measured=measured)
+    hit = met.groupBy("id", "split", "field").agg(*either).groupBy("split", "field", *[f"b{w}" for w in words]).agg(F.count(F.lit(1)).alias("c"))
+    hit = hit.select(F.explode(F.flatten(F.array(*[_bits(w) for w in words]))).alias("split_a"), F.col("split").alias("split_b"), "field", "c").where("split_a <> split_b")
+    counts = hit.groupBy("split_a", "split_b", "field").agg(F.sum("c").alias("n_overlap"))
     sizes = partition.groupBy("split").agg(F.count(F.lit(1)).alias("n_records"))
     fields = ds.records.sparkSession.createDataFrame([(f,) for f in ds.factors], "field string")
     # all pairs of splits, of which there are 2 + 2 ** factors at most

@@ -19,7 +19,7 @@ from splitloom.operators import graph as gr
 from splitloom.operators import kernel as kn
 from splitloom.operators.constraints import constraint_scores
 from splitloom.operators.dataset import SplitDataset
-from splitloom.operators.edges import class_representatives, classes
+from splitloom.operators.edges import class_representatives, classes, tagged
 from splitloom.workspace import Workspace, join_per_key
 
 
@@ -56,28 +56,24 @@ def split(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     return REGISTRY[name](ds, conf)
 
 
-def random_candidates(ds: SplitDataset, n_candidates: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """``(cand_id)`` of the usable candidates and the members of all."""
-    ws = Workspace(ds.records.sparkSession, "random")
-    postings = ws.write(ds.postings().select("n", "value", "id"))
-    masks = ws.write(cd.random_masks(postings.select("n", "value").distinct(), n_candidates, seed))
-    # the packed sides are written, one row per block and record; they are unpacked where they are read
-    members = cd.unpack_members(ws.write(cd.packed_sides(postings, masks, len(ds.factors))), n_candidates)
+def random_candidates(ds: SplitDataset, n_candidates: int, seed: int) -> tuple[DataFrame, cd.RandomSides]:
+    """``(cand_id)`` of the usable candidates, and the members of all."""
+    masks = cd.random_masks(ds.postings().select("n", "value").distinct(), n_candidates, seed)
     cands = ds.records.sparkSession.range(n_candidates).select(F.col("id").alias("cand_id")).join(cd.constant_candidates(masks, n_candidates), "cand_id", "left_anti")
-    return cands, members
+    return cands, cd.RandomSides(ds, n_candidates, seed)
 
 
 @register("random")
 def random_search(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     """Best of 1 + max_iter random candidates, all scored in one job; ties go to the smaller number."""
-    n = 1 + (1000 if conf.max_iter is None else conf.max_iter)
+    n = 1 + (100_000 if conf.max_iter is None else conf.max_iter)
     cands, members = random_candidates(ds, n, conf.seed)
     scores = Workspace(ds.records.sparkSession, "scores").write(constraint_scores(ds, conf.specs, members, cands, conf.constraint_weights))
     best = cd.best_candidate(scores).first()
     if best is None:
         raise ValueError("no usable candidate: a factor has fewer than two values, or max_iter is too small")
     history = scores.select(F.lit(conf.seed).alias("run"), F.col("cand_id").cast("int").alias("iter"), "total", F.lit(None).cast("string").alias("bits"))
-    return SplitResult(members.where(F.col("cand_id") == best["cand_id"]).select("id", "side"), history, best["total"])
+    return SplitResult(members.only(best["cand_id"]), history, best["total"])
 
 
 def _kernel_result(ds: SplitDataset, k: kn.Kernel, side: np.ndarray, history: list[tuple], run: int, total: float) -> SplitResult:
@@ -159,7 +155,7 @@ def vns_large(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
             part = options[a : a + step]
             sides = ws.write(cd.packed_sides(postings, masks_of(bits, part), len(ds.factors)))
             cands = spark.range(len(part)).select(F.col("id").alias("cand_id"))
-            top = cd.best_candidate(constraint_scores(ds, conf.specs, cd.unpack_members(sides, len(part)), cands, conf.constraint_weights)).first()
+            top = cd.best_candidate(constraint_scores(ds, conf.specs, cd.PackedSides(sides, len(part)), cands, conf.constraint_weights)).first()
             ws.drop(sides)
             found.append((float(top["total"]), a + top["cand_id"]))
         total, i = min(found)
@@ -272,7 +268,7 @@ def spectral(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
 
 def class_postings(ds: SplitDataset, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(class_id, v)``, the values of classes, and ``(class_id, s, own)``, their records and number of values."""
-    tags = F.concat(*[F.transform(f, lambda x, n=n: F.concat(F.lit(f"{n}:"), x.cast("string"))) for n, f in enumerate(ds.factors)])
+    tags = F.concat(*[F.transform(f, tagged(n)) for n, f in enumerate(ds.factors)])
     return reps.select("class_id", F.explode(tags).alias("v")), reps.select("class_id", F.col("class_size").cast("double").alias("s"), F.size(tags).cast("double").alias("own"))
 
 

@@ -53,7 +53,7 @@ def _parts(spark: SparkSession, d: str) -> SplitDataset:
     return SplitDataset(_records(p, "p_partkey", brand=F.array("p_brand"), type=F.array("p_type"), size=F.array("p_size")), ("brand", "type", "size"), ("brand", "type"), ("size",))
 
 
-def _candidates(ds: SplitDataset, n: int = N) -> tuple[DataFrame, DataFrame]:
+def _candidates(ds: SplitDataset, n: int = N) -> tuple[DataFrame, cd.RandomSides]:
     return sp.random_candidates(ds, n, SEED)
 
 
@@ -227,7 +227,7 @@ def split_single_factor(spark: SparkSession, d: str) -> DataFrame:
 
 def split_collapsed(spark: SparkSession, d: str) -> DataFrame:
     _, members = _candidates(orders(spark, d, ("customer", "supplier")))
-    return members.groupBy("cand_id", "side").agg(F.count(F.lit(1)).alias("n_records"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return members.unpack().groupBy("cand_id", "side").agg(F.count(F.lit(1)).alias("n_records"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 def split_collapsed_plain(spark: SparkSession, d: str) -> DataFrame:
@@ -332,7 +332,7 @@ def _partition(spark: SparkSession, d: str) -> tuple[SplitDataset, DataFrame]:
     """Orders by customer and suppliers; side 0: candidate 0 of the seed."""
     ds = orders(spark, d, ("customer", "supplier"), ("price",))
     _, members = _candidates(ds, 1)
-    return ds, Workspace(spark, "partition").write(report.overlap_test_sets(ds, members.select("id", "side")))
+    return ds, Workspace(spark, "partition").write(report.overlap_test_sets(ds, members.only(0)))
 
 
 def overlap_test_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -340,7 +340,7 @@ def overlap_test_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_stats(spark: SparkSession, d: str) -> DataFrame:
-    return report.overlap_stats(*_partition(spark, d)).drop("overlap")
+    return report.overlap_stats(*_partition(spark, d))
 
 
 def split_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -420,6 +420,7 @@ QUERIES = {
 
 _CUST = "SELECT 0 AS n, CAST(o_custkey AS VARCHAR) AS value, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_custkey IS NOT NULL"
 _SUPP = "SELECT DISTINCT 1 AS n, CAST(l_suppkey AS VARCHAR) AS value, CAST(l_orderkey AS VARCHAR) AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey IS NOT NULL"
+_ROOT = "SELECT 0 AS n, min(CAST(o_orderkey AS VARCHAR)) OVER (PARTITION BY o_custkey) AS value, CAST(o_orderkey AS VARCHAR) AS id FROM orders"
 _NATION = "SELECT 0 AS n, CAST(s_nationkey AS VARCHAR) AS value, CAST(s_suppkey AS VARCHAR) AS id FROM supplier WHERE s_nationkey IS NOT NULL"
 
 
@@ -429,7 +430,7 @@ mask AS (SELECT n, value, CAST('0x' || substr(md5('{SEED}:0:' || n || ':' || val
 cand AS (SELECT CAST(range AS BIGINT) AS cand_id FROM range({n})),
 bits AS (SELECT cand_id, n, value, (m >> CAST(cand_id AS INTEGER)) & 1 = 1 AS bit FROM mask, cand),
 ok AS (SELECT cand_id FROM (SELECT cand_id, n, bool_and(bit) AS al, bool_or(bit) AS an FROM bits GROUP BY ALL) GROUP BY cand_id HAVING NOT bool_or(al) AND bool_and(an)),
-mem AS (SELECT cand_id, id, CASE WHEN al THEN 0 WHEN NOT an THEN 1 END AS side FROM (SELECT cand_id, id, bool_and(bit) AS al, bool_or(bit) AS an, count(DISTINCT n) AS k FROM post JOIN bits USING (n, value) GROUP BY ALL) WHERE k = {factors} AND (al OR NOT an))"""
+mem AS MATERIALIZED (SELECT cand_id, id, CASE WHEN al THEN 0 WHEN NOT an THEN 1 END AS side FROM (SELECT cand_id, id, bool_and(bit) AS al, bool_or(bit) AS an, count(DISTINCT n) AS k FROM post JOIN bits USING (n, value) GROUP BY ALL) WHERE k = {factors} AND (al OR NOT an))"""
 
 
 _W1 = _sides(_CUST, 1)
@@ -521,8 +522,9 @@ SELECT l_orderkey, CAST(len(list_intersect(a, b)) AS DOUBLE) AS shared, CASE WHE
     "score_total_worst": "WITH a AS (SELECT count(*) FILTER (s_nationkey % 2 = 0) AS n0, count(*) FILTER (s_nationkey % 2 = 1) AS n1, abs(avg(s_acctbal) FILTER (s_nationkey % 2 = 0) - avg(s_acctbal) FILTER (s_nationkey % 2 = 1)) AS m, count(*) AS c FROM supplier) SELECT 100::BIGINT AS cand_id, c AS n0, 0::BIGINT AS n1, NULL::DOUBLE AS score0, 99999.0::DOUBLE AS total FROM a UNION ALL SELECT 101, n0, n1, round(m, 6), round(2 * m, 6) FROM a UNION ALL SELECT 102, 0, 0, NULL, 99999.0",
     "random_search_best": f"WITH {_W1}, {_PRICE}, {_dist('o_orderstatus', '(SELECT count(*) FROM voc)')}, {_KL}, s AS (SELECT cand_id, n0, n1, abs(a0 - a1) AS x, (f + r) / 2 AS y FROM w JOIN kl USING (cand_id) WHERE n0 > 0 AND n1 > 0) SELECT cand_id, n0, n1, round(x, 6) AS score0, round(y, 6) AS score1, round(0.001 * x + 10 * y, 6) AS total FROM s ORDER BY 0.001 * x + 10 * y, cand_id LIMIT 1",
     "random_split": f"WITH {_W1}, {_PRICE}, {_dist('o_orderstatus', '(SELECT count(*) FROM voc)')}, {_KL}, s AS (SELECT cand_id FROM w JOIN kl USING (cand_id) WHERE n0 > 0 AND n1 > 0 ORDER BY 0.001 * abs(a0 - a1) + 10 * (f + r) / 2, cand_id LIMIT 1) SELECT id, side FROM mem JOIN s USING (cand_id)",
+    "disconnected_split": f"WITH {_sides(_ROOT, 1)}, {_PRICE}, {_dist('o_orderstatus', '(SELECT count(*) FROM voc)')}, {_KL}, s AS (SELECT cand_id FROM w JOIN kl USING (cand_id) WHERE n0 > 0 AND n1 > 0 ORDER BY 0.001 * abs(a0 - a1) + 10 * (f + r) / 2, cand_id LIMIT 1) SELECT id, side FROM mem JOIN s USING (cand_id)",
     "overlap_test_sets": f"WITH {_PART} SELECT id, split FROM part",
-    "overlap_stats": f"WITH {_PART}, sz AS (SELECT split, count(*) AS n_records FROM part GROUP BY ALL), pp AS (SELECT post.n, post.value, post.id, part.split FROM post JOIN part USING (id)), hv AS (SELECT DISTINCT n, value, split AS split_a FROM pp), hit AS (SELECT split_a, split AS split_b, n, count(DISTINCT id) AS n_overlap FROM pp JOIN hv USING (n, value) WHERE split <> split_a GROUP BY ALL), fl(n, field) AS (VALUES (0, 'customer'), (1, 'supplier')) SELECT a.split AS split_a, b.split AS split_b, field, coalesce(n_overlap, 0) AS n_overlap, b.n_records FROM sz a JOIN sz b ON a.split <> b.split CROSS JOIN fl LEFT JOIN hit ON hit.split_a = a.split AND hit.split_b = b.split AND hit.n = fl.n",
+    "overlap_stats": f"WITH {_PART}, sz AS (SELECT split, count(*) AS n_records FROM part GROUP BY ALL), pp AS (SELECT post.n, post.value, post.id, part.split FROM post JOIN part USING (id)), hv AS (SELECT DISTINCT n, value, split AS split_a FROM pp), hit AS (SELECT split_a, split AS split_b, n, count(DISTINCT id) AS n_overlap FROM pp JOIN hv USING (n, value) WHERE split <> split_a GROUP BY ALL), fl(n, field) AS (VALUES (0, 'customer'), (1, 'supplier')) SELECT a.split AS split_a, b.split AS split_b, field, coalesce(n_overlap, 0) AS n_overlap, b.n_records, round(coalesce(n_overlap, 0) / b.n_records, 4) AS overlap FROM sz a JOIN sz b ON a.split <> b.split CROSS JOIN fl LEFT JOIN hit ON hit.split_a = a.split AND hit.split_b = b.split AND hit.n = fl.n",
     "split_stats": f"WITH {_PART} SELECT CAST(split AS BIGINT) AS split, count(*) AS length, round(avg(o_totalprice), 6) AS stat0 FROM part JOIN orders ON id = CAST(o_orderkey AS VARCHAR) GROUP BY split",
     "best_so_far": f"WITH {_HIST} SELECT run, iter, total, min(total) OVER (PARTITION BY run ORDER BY iter) AS best FROM h",
     "finite_scores": f"WITH {_HIST}, x AS (SELECT run, iter, CASE WHEN iter % 5 = 0 THEN 99999.0 ELSE total END AS total FROM h) SELECT run, iter, total, CASE WHEN total < 99999 THEN total ELSE max(total) FILTER (total < 99999) OVER (PARTITION BY run) END AS shown FROM x",
