@@ -1,4 +1,7 @@
-"""Command line: ``python -m splitloom.cli ODIR CONFIG METADATA... [--seed N] [--use-components] [--partition-and-split FILE:K]``."""
+"""Command line: ``python -m splitloom.cli ODIR CONFIG METADATA... [--seed N | --jobs N] [--use-components] [--partition-and-split FILE:K]``.
+
+Below ODIR: config.json, history (with the score of every constraint), partition, stats, distributions, overlaps; with ``--jobs`` also best_seeds.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +15,13 @@ from pyspark.sql import functions as F
 from splitloom.config import parse_config
 from splitloom.operators import report
 from splitloom.operators.graph import from_components
-from splitloom.operators.splitters import split
+from splitloom.operators.splitters import best_of_seeds, split
 from splitloom.sources import tables
+from splitloom.workspace import Workspace
 
 
-def run(spark: SparkSession, odir: str, conf_path: str, metadata: list[str], seed: int | None = None, use_components: bool = False, partition_and_split: str | None = None) -> float:
-    """Read, split, report; returns the total score. Results are written below ``odir``."""
+def run(spark: SparkSession, odir: str, conf_path: str, metadata: list[str], seed: int | None = None, use_components: bool = False, partition_and_split: str | None = None, jobs: int | None = None, top: int = 5) -> float:
+    """Read, split, report; returns the total score. Results are written below ``odir``. ``jobs``: the best of the seeds 0 to ``jobs``, and the ``top`` of them."""
     import yaml
 
     raw = yaml.safe_load(Path(conf_path).read_text())
@@ -38,17 +42,20 @@ def run(spark: SparkSession, odir: str, conf_path: str, metadata: list[str], see
     searched = ds
     if use_components:
         searched, members = from_components(ds)
-    result = split(searched, conf)
+    result = split(searched, conf) if jobs is None else best_of_seeds(searched, conf, jobs)
     part = result.assignment.select("id", F.col("side").alias("split"))
     if members is not None and searched is not ds:
         part = tables.expand_components(part, members)
-    whole = report.overlap_test_sets(ds, part.select("id", F.col("split").alias("side")))
+    whole = Workspace(spark, "cli").write(report.overlap_test_sets(ds, part.select("id", F.col("split").alias("side"))))
     out = Path(odir)
     out.mkdir(parents=True, exist_ok=True)
     tables.write_config(conf, str(out / "config.json"))
     tables.write_json(result.history, str(out / "history"))
     tables.write_partition(whole, str(out / "partition"))
     tables.write_json(report.split_stats(ds, conf.specs, whole), str(out / "stats"))
+    tables.write_json(report.split_distributions(ds, conf.specs, whole), str(out / "distributions"))
+    if jobs is not None:
+        tables.write_json(report.best_runs(result.history, top), str(out / "best_seeds"))
     tables.write_json(report.overlap_stats(ds, whole), str(out / "overlaps"))
     return result.total
 
@@ -59,11 +66,13 @@ def main() -> None:
     p.add_argument("config")
     p.add_argument("metadata", nargs="+")
     p.add_argument("--seed", type=int)
+    p.add_argument("--jobs", type=int)
+    p.add_argument("--top", type=int, default=5)
     p.add_argument("--use-components", action="store_true")
     p.add_argument("--partition-and-split")
     a = p.parse_args()
     spark = SparkSession.builder.appName("splitloom").getOrCreate()
-    print(run(spark, a.odir, a.config, a.metadata, a.seed, a.use_components, a.partition_and_split))
+    print(run(spark, a.odir, a.config, a.metadata, a.seed, a.use_components, a.partition_and_split, a.jobs, a.top))
 
 
 if __name__ == "__main__":

@@ -8,8 +8,8 @@ from typing import Any
 #: Type names of fields and the Spark types they stand for (fixed values).
 TYPES = {"str": "string", "float": "double", "int": "bigint", "bool": "boolean"}
 
-#: Similarities that graphs, components, splits and overlaps are built from: records are related by equal values.
-_HONOURED = ("set_intersection",)
+#: Similarities that relate records, and the key that holds the threshold of each.
+SIMILARITIES = {"set_intersection": None, "boolean": None, "cosine": "cosine_thresh", "gaussian": "gaussian_thresh", "levenshtein": "levenshtein_thresh"}
 
 #: Legacy top-level keys that hold the parameters of a constraint of that name.
 _LEGACY = ("mean_tuple", "sum_tuple", "kl_tuple", "max_entropy")
@@ -53,6 +53,12 @@ class SplitConfig:
     partition_and_split: str | None = None
     extra: dict = field(default_factory=dict)
 
+    def relation(self, i: int) -> tuple[str, float, float]:
+        """(similarity, threshold, weight) of the i-th entry of ``factors``."""
+        name = self.similarity_functions[i] if self.similarity_functions else "set_intersection"
+        thresh = getattr(self, SIMILARITIES[name]) if SIMILARITIES[name] else 0.0
+        return name, thresh, self.factor_weights[i] if self.factor_weights else 1.0
+
     def as_dict(self) -> dict:
         return asdict(self)
 
@@ -98,11 +104,11 @@ def parse_config(conf: dict, n_fields: int | None = None) -> SplitConfig:
     weights = tuple(float(w) for w in conf.get("factor_weights") or (1.0,) * len(factors))
     if len(sims) != len(factors) or len(weights) != len(factors):
         raise ValueError("one similarity function and one weight for each factor")
-    other = sorted({str(x) for x in sims} - set(_HONOURED))
+    other = sorted({str(x) for x in sims} - set(SIMILARITIES))
     if other:
-        raise ValueError(f"similarities {other} are not honoured: graphs, components and overlaps are built from equal values ({', '.join(_HONOURED)})")
-    if set(weights) - {1.0}:
-        raise ValueError("factor_weights other than 1 are not honoured: every shared value counts 1")
+        raise ValueError(f"unknown similarities {other}; known: {sorted(SIMILARITIES)}")
+    if any(not w > 0 for w in weights):
+        raise ValueError("factor_weights must be positive")
     cweights = tuple(float(w) for w in conf.get("constraint_weights") or conf.get("constraints_weights") or (1.0,) * len(specs))
     if len(cweights) != len(specs):
         raise ValueError("one weight for each constraint")

@@ -81,6 +81,10 @@ class PackedSides:
     def unpack(self) -> DataFrame:
         return unpack_members(self.sides, self.n_candidates)
 
+    def only(self, cand_id: int) -> DataFrame:
+        """``(id, side)`` of one candidate."""
+        return _only(self.sides, cand_id)
+
 
 @dataclass(frozen=True)
 class RandomSides:
@@ -117,9 +121,12 @@ class RandomSides:
 
     def only(self, cand_id: int) -> DataFrame:
         """``(id, side)`` of one candidate."""
-        of = self.packed(self.ds.records, []).where(F.col("block") == cand_id // BLOCK)
-        bit = [F.expr(f"(shiftright({c}, {cand_id % BLOCK}) & 1) = 1") for c in ("train", "held")]
-        return of.select("id", F.when(bit[0], 0).when(bit[1], 1).alias("side")).where("side IS NOT NULL")
+        return _only(self.packed(self.ds.records, []), cand_id)
+
+
+def _only(sides: DataFrame, cand_id: int) -> DataFrame:
+    bit = [F.expr(f"(shiftright({c}, {cand_id % BLOCK}) & 1) = 1") for c in ("train", "held")]
+    return sides.where(F.col("block") == cand_id // BLOCK).select("id", F.when(bit[0], 0).when(bit[1], 1).alias("side")).where("side IS NOT NULL")
 
 
 def with_fields(members, records: DataFrame, *cols: Column) -> DataFrame:

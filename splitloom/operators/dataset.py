@@ -26,6 +26,21 @@ def flat_values(df: DataFrame, field: str) -> Column:
     return F.array_distinct(F.filter(F.coalesce(c, F.array().cast(f"array<{_element(kind)}>")), lambda x: x.isNotNull()))
 
 
+def vectors_of(df: DataFrame, field: str) -> Column:
+    """``array<array<double>>``: the distinct vectors of a record; a field of numbers is one vector. Null and empty vectors are none."""
+    kind = df.schema[field].dataType
+    if not isinstance(kind, T.ArrayType):
+        raise ValueError(f"cosine compares vectors, {field} has none")
+    c = F.col(field) if isinstance(kind.elementType, T.ArrayType) else F.array(field)
+    numbers = F.transform(F.filter(c, lambda v: v.isNotNull()), lambda v: F.transform(v, lambda x: x.cast("double")))
+    return F.coalesce(F.array_distinct(F.filter(numbers, lambda v: F.size(v) > 0)), F.array().cast("array<array<double>>"))
+
+
+def vector_texts(df: DataFrame, field: str) -> Column:
+    """The vectors of a record as texts, which join and sort."""
+    return F.transform(vectors_of(df, field), lambda v: F.to_json(F.struct(v.alias("v"))))
+
+
 def _element(kind: T.DataType) -> str:
     while isinstance(kind, T.ArrayType):
         kind = kind.elementType
@@ -50,6 +65,15 @@ def dense_index(df: DataFrame, order: list[str], name: str = "index", ws: Worksp
     return marked.join(F.broadcast(table), "_part").withColumn(name, F.col("_row") + F.col("_offset")).drop("_part", "_row", "_offset")
 
 
+@dataclass(frozen=True)
+class Relation:
+    """How two records are compared in a factor: similarity by name, its threshold, and its weight in the sum over factors."""
+
+    name: str = "set_intersection"
+    thresh: float = 0.0
+    weight: float = 1.0
+
+
 @dataclass(frozen=True)
 class SplitDataset:
     """Records, one for each id, and the roles of their fields. ``weighting`` none: constraints are plain statistics; weighted: records count by their weights."""
@@ -59,8 +83,21 @@ class SplitDataset:
     factors: tuple[str, ...]
     constraints: tuple[str, ...] = ()
     weighting: str = "none"
+    #: One for each factor; none: equal values relate records, each with weight 1.
+    similar: tuple[Relation, ...] = ()
+
+    @property
+    def relations(self) -> tuple[Relation, ...]:
+        return self.similar or (Relation(),) * len(self.factors)
+
+    @property
+    def plain(self) -> bool:
+        """Whether a value's graph is made of its owners only."""
+        return all(r.name in ("set_intersection", "boolean") for r in self.relations)
 
     def __post_init__(self):
+        if len(self.relations) != len(self.factors):
+            raise ValueError("one relation for each factor")
         missing = [f for f in (*self.factors, *self.constraints) if f not in self.fields]
         if missing:
             raise ValueError(f"no such fields: {missing}")
@@ -100,7 +137,8 @@ class SplitDataset:
         """``array<struct(n, field, value)>`` of a record: its distinct values of each factor (n counts factors from 0). Values are texts."""
 
         def named(i: int, f: str) -> Column:
-            return F.transform(flat_values(self.records, f), lambda x: F.struct(F.lit(i).alias("n"), F.lit(f).alias("field"), x.cast("string").alias("value")))
+            values = vector_texts(self.records, f) if fields is None and self.relations[i].name == "cosine" else flat_values(self.records, f)
+            return F.transform(values, lambda x: F.struct(F.lit(i).alias("n"), F.lit(f).alias("field"), x.cast("string").alias("value")))
 
         return F.concat(*[named(i, f) for i, f in enumerate(fields or self.factors)])
 
@@ -112,7 +150,8 @@ class SplitDataset:
         """``(n, value, pos, n_records)``: distinct values of each factor in rising order (numbers by number), positions from 0."""
         out = None
         for i, f in enumerate(self.factors):
-            v = self.records.select(F.explode(flat_values(self.records, f)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n_records"))
+            of = vector_texts if self.relations[i].name == "cosine" else flat_values
+            v = self.records.select(F.explode(of(self.records, f)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n_records"))
             part = dense_index(v, ["v"], "pos").select(F.lit(i).alias("n"), F.col("v").cast("string").alias("value"), "pos", "n_records")
             out = part if out is None else out.unionByName(part)
         return out

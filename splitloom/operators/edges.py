@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitloom.operators.dataset import SplitDataset, flat_values
+from splitloom.operators.dataset import SplitDataset, flat_values, vectors_of
 from splitloom.workspace import Workspace, join_per_key, size_measures
 
 
+def _sets(ds: SplitDataset) -> list[Column]:
+    """The sorted sets of the factors, sets of vectors where these are compared."""
+    return [F.array_sort((vectors_of if r.name == "cosine" else flat_values)(ds.records, f)).alias(f) for f, r in zip(ds.factors, ds.relations)]
+
+
 def classes(ds: SplitDataset) -> DataFrame:
     """``(id, class_id, class_size, <factors>)``: records with equal sets in every factor form a class, named by its smallest id."""
-    sets = [F.array_sort(flat_values(ds.records, f)).alias(f) for f in ds.factors]
+    sets = _sets(ds)
     rows = ds.records.select("id", *sets)
     sizes = rows.groupBy(*ds.factors).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     keys = [f"_k{i}" for i in range(len(ds.factors))]
@@ -28,7 +33,7 @@ def classes(ds: SplitDataset) -> DataFrame:
 
 def class_representatives(ds: SplitDataset) -> DataFrame:
     """``(class_id, class_size, <factors>)``: one row per class."""
-    sets = [F.array_sort(flat_values(ds.records, f)).alias(f) for f in ds.factors]
+    sets = _sets(ds)
     return ds.records.select("id", *sets).groupBy(*ds.factors).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
 
 
@@ -135,32 +140,75 @@ def cosine_search(queries: DataFrame, vectors: DataFrame, thresh: float, block:
     import numpy as np
     import pandas as pd
 
+    def search(names, q, pdf):
+        v = np.stack(pdf["vector"].to_numpy()).astype(float)
+        norm = np.sqrt((v * v).sum(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            c = np.where(norm[:, None] > 0, (v @ q.T) / norm[:, None], 0.0)
+        a, b = np.nonzero(c > thresh)
+        out = pd.DataFrame({"query_id": [names[j] for j in b], "id": pdf["id"].to_numpy()[a], "cosine": c[a, b]})
+        return out[out["query_id"] != out["id"]]
+
     kind = vectors.schema["id"].dataType.simpleString()
-    found = None
-    rows = [(r["id"], np.asarray(r["vector"], float)) for r in queries.where("vector IS NOT NULL").select("id", "vector").toLocalIterator()]
-    rows = [(i, v) for i, v in rows if np.isfinite(v).all() and (v * v).sum() > 0]
-    for first in range(0, max(1, len(rows)), block):
-        part = rows[first : first + block]
-        ids = [i for i, _ in part]
-        q = np.stack([v / np.sqrt((v * v).sum()) for _, v in part]) if part else np.zeros((0, 1))
-        sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
-
-        def search(batches, sent=sent):
+    return _against(queries, vectors.where("vector IS NOT NULL").select("id", "vector"), search, f"query_id {kind}, id {kind}, cosine double", block)
+
+
+def _against(queries: DataFrame, rows: DataFrame, found, schema: str, block: int) -> DataFrame:
+    """``found(names, unit vectors, batch)`` for every block of the queries and every batch of ``rows``.
+
+    Queries are the stated set: the driver holds one block of them at a time, and each block reads the rows once.
+    """
+    import numpy as np
+
+    spark, out = rows.sparkSession, None
+
+    def add(ids: list, unit: list):
+        sent = spark.sparkContext.broadcast((ids, np.stack(unit) if unit else None))
+
+        def run(batches, sent=sent):
             names, q = sent.value
             for pdf in batches:
-                if not len(names) or not len(pdf):
-                    continue
-                v = np.stack(pdf["vector"].to_numpy()).astype(float)
-                norm = np.sqrt((v * v).sum(1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    c = np.where(norm[:, None] > 0, (v @ q.T) / norm[:, None], 0.0)
-                a, b = np.nonzero(c > thresh)
-                out = pd.DataFrame({"query_id": [names[j] for j in b], "id": pdf["id"].to_numpy()[a], "cosine": c[a, b]})
-                yield out[out["query_id"] != out["id"]]
-
-        one = vectors.where("vector IS NOT NULL").select("id", "vector").mapInPandas(search, f"query_id {kind}, id {kind}, cosine double")
-        found = one if found is None else found.unionByName(one)
-    return found
+                if len(names) and len(pdf):
+                    yield found(names, q, pdf)
+
+        one = rows.mapInPandas(run, schema)
+        return one if out is None else out.unionByName(one)
+
+    ids, unit = [], []
+    for r in queries.where("vector IS NOT NULL").select("id", "vector").toLocalIterator():
+        v = np.asarray(r["vector"], float)
+        if np.isfinite(v).all() and (v * v).sum() > 0:
+            ids.append(r["id"])
+            unit.append(v / np.sqrt((v * v).sum()))
+        if len(ids) == block:
+            out = add(ids, unit)
+            ids, unit = [], []
+    return add(ids, unit) if ids or out is None else out
+
+
+def cosine_best(queries: DataFrame, vectors: DataFrame, label: str, block: int = 4096) -> DataFrame:
+    """``(query_id, <label>, cosine)``: the largest cosine of each query of ``(id, vector)`` with another vector of each label of ``(id, vector, label)``.
+
+    A stated query set against all rows, as :func:`cosine_search`; each batch of vectors sends one row per query and label. Vectors that are similar
+    to nothing (zero, null, NaN) are left out, null labels too.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def best(names, q, pdf):
+        v = np.stack(pdf["vector"].to_numpy()).astype(float)
+        norm = np.sqrt((v * v).sum(1))
+        ok = np.isfinite(norm) & (norm > 0)
+        c = (v[ok] / norm[ok, None]) @ q.T
+        at = pd.Index(names).get_indexer(pdf["id"].to_numpy()[ok])
+        c[np.nonzero(at >= 0)[0], at[at >= 0]] = -np.inf
+        top = pd.DataFrame(c, columns=range(len(names))).groupby(pdf["label"].to_numpy()[ok]).max().stack()
+        top = top[top > -np.inf]
+        return pd.DataFrame({"query_id": [names[j] for j in top.index.get_level_values(1)], "label": top.index.get_level_values(0), "cosine": top.to_numpy()})
+
+    rows = vectors.where(F.col("vector").isNotNull() & F.col(label).isNotNull()).select("id", "vector", F.col(label).alias("label"))
+    parts = _against(queries, rows, best, f"query_id {vectors.schema['id'].dataType.simpleString()}, label {vectors.schema[label].dataType.simpleString()}, cosine double", block)
+    return parts.groupBy("query_id", "label").agg(F.max("cosine").alias("cosine")).withColumnRenamed("label", label)
 
 
 def cosine_edges(vectors: DataFrame, thresh: float, dims: int = 3) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from splitloom.config import ConstraintSpec
 from splitloom.operators.constraints import WORST_SCORE, constraint, kl_divergence, reduce_values
 from splitloom.operators.dataset import SplitDataset
+from splitloom.operators.related import related_nodes
 
 MAX_POSTINGS = 2_000_000
 
@@ -101,24 +102,25 @@ class Kernel:
 def load_kernel(ds: SplitDataset, specs: tuple[ConstraintSpec, ...], cweights: tuple[float, ...]) -> Kernel:
     """The dataset as arrays; refuses data with more than MAX_POSTINGS postings or records."""
     fields = tuple(ds.factors)
-    if ds.postings(fields).limit(MAX_POSTINGS + 1).count() > MAX_POSTINGS or ds.records.limit(MAX_POSTINGS + 1).count() > MAX_POSTINGS:
+    nodes = ds.postings().select("n", "value", "id") if ds.plain else related_nodes(ds)
+    if nodes.limit(MAX_POSTINGS + 1).count() > MAX_POSTINGS or ds.records.limit(MAX_POSTINGS + 1).count() > MAX_POSTINGS:
         raise ValueError(f"more than {MAX_POSTINGS} postings: use the DataFrame searches")
-    from splitloom.operators.dataset import flat_values
-
     w = F.aggregate(F.coalesce("weights", F.array(F.lit(1.0))), F.lit(0.0), lambda s, x: s + x) if ds.weighting == "weighted" else F.lit(1.0)
     numeric = [i for i, s in enumerate(specs) if constraint(s.name).kind == "numeric"]
     cols = [reduce_values(ds.records, ds.constraints[i], specs[i].reduction, ds.weighting).alias(f"r{i}") for i in numeric]
-    factor_cols = [F.array_sort(flat_values(ds.records, f)).alias(f"f{n}") for n, f in enumerate(fields)]
-    rows = ds.records.select("id", w.alias("w"), *cols, *factor_cols).orderBy("id").collect()
+    rows = ds.records.select("id", w.alias("w"), *cols).orderBy("id").collect()
     ids = [r["id"] for r in rows]
     at = {x: i for i, x in enumerate(ids)}
     values, record, value = [], [], []
+    # values in the order of their positions
+    order = [(r["n"], r["value"]) for r in ds.values().orderBy("n", "pos").select("n", "value").collect()]
+    held = [(r["n"], r["value"], at[r["id"]]) for r in nodes.collect()]
     for n in range(len(fields)):
-        names = sorted({v for r in rows for v in r[f"f{n}"]})
-        number = {v: i for i, v in enumerate(names)}
-        values.append([str(v) for v in names])
-        record.append(np.array([i for i, r in enumerate(rows) for _ in r[f"f{n}"]], np.int64))
-        value.append(np.array([number[v] for r in rows for v in r[f"f{n}"]], np.int64))
+        values.append([v for k, v in order if k == n])
+        number = {v: i for i, v in enumerate(values[-1])}
+        mine = sorted((i, number[v]) for k, v, i in held if k == n)
+        record.append(np.array([i for i, _ in mine], np.int64))
+        value.append(np.array([v for _, v in mine], np.int64))
     coded = {}
     for i, s in enumerate(specs):
         if i not in numeric:
@@ -230,16 +232,16 @@ def bit_text(bits: list[np.ndarray]) -> str:
     return "|".join("".join("1" if x else "0" for x in b) for b in bits)
 
 
-def variable_neighbourhood_search(k: Kernel, seed: int, max_iter: int, shakes: int, searches: int, most: int) -> tuple[np.ndarray, list[tuple[int, float, str]]]:
-    """Best sides and the incumbent's (iteration, total, bits) after every iteration.
+def variable_neighbourhood_search(k: Kernel, seed: int, max_iter: int, shakes: int, searches: int, most: int) -> tuple[np.ndarray, list[tuple[int, float, str, list[float]]]]:
+    """Best sides and the incumbent's (iteration, total, bits, score of each constraint) after every iteration.
 
     Each iteration shakes the incumbent by 1, 2, ... flips, searches growing neighbourhoods of the shaken point for a better
     one, and moves to it when it also beats the incumbent.
     """
     rng = np.random.default_rng(seed)
     best = random_bits(k, rng)
-    total = k.score(k.sides(best))[0]
-    history = [(0, total, bit_text(best))]
+    total, parts = k.score(k.sides(best))
+    history = [(0, total, bit_text(best), parts)]
     for it in range(1, max_iter + 1):
         for depth in range(1, shakes + 1):
             shaken = neighbours_at(best, depth, 1, rng)
@@ -255,9 +257,10 @@ def variable_neighbourhood_search(k: Kernel, seed: int, max_iter: int, shakes: i
                         found, low = o, s
                         break
             if low < total:
-                best, total = found, low
+                best = found
+                total, parts = k.score(k.sides(best))
                 break
-        history.append((it, total, bit_text(best)))
+        history.append((it, total, bit_text(best), parts))
     return k.sides(best), history
 
 
@@ -301,7 +304,12 @@ def folded_labels(record: np.ndarray, value: np.ndarray, sizes: np.ndarray, smoo
         order = np.argsort(value, kind="stable")
         for rows in np.split(record[order], np.nonzero(np.diff(value[order]))[0] + 1):
             shared[np.ix_(rows, rows)] += 1
-    own = np.bincount(record, minlength=m) + smoothing
+    return affinity_labels(shared, sizes, smoothing, clusters, seed)
+
+
+def affinity_labels(shared: np.ndarray, sizes: np.ndarray, smoothing: float, clusters: int, seed: int = 0) -> np.ndarray:
+    """The same from the similarities of classes; the diagonal holds that of two copies."""
+    own = np.diag(shared) + smoothing
     d = (shared + smoothing) @ sizes - own
     scale = np.sqrt(sizes / np.where(d > 0, d, 1))
     _, vectors = np.linalg.eigh((shared + smoothing) * scale[:, None] * scale[None, :] - np.diag(own / np.where(d > 0, d, 1)))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitloom.config import ConstraintSpec
-from splitloom.operators.constraints import WORST_SCORE, side_stats
+from splitloom.operators.constraints import WORST_SCORE, distributions, side_stats
 from splitloom.operators.dataset import SplitDataset
+from splitloom.operators.graph import factor_nodes
 from splitloom.workspace import Workspace, join_per_key, size_measures
 
 
@@ -26,7 +27,7 @@ def _bits(w: int) -> Column:
 def overlap_test_sets(ds: SplitDataset, assignment: DataFrame) -> DataFrame:
     """``(id, split)`` of all records: 0 train, 1 held out, else 2 + the class of the leftover.
 
-    ``assignment(id, side)``. Digit n of the class (first factor first) is 0 if the record shares a value of factor n with the
+    ``assignment(id, side)``. Digit n of the class (first factor first) is 0 if the record has, or is similar to, a value of factor n on the
     train side and 1 if not; a record without values in a factor shares none.
     """
     ws = Workspace(ds.records.sparkSession, "overlap")
@@ -36,7 +37,10 @@ def overlap_test_sets(ds: SplitDataset, assignment: DataFrame) -> DataFrame:
     keyed = _keyed(rows.select("id", "side", F.explode("p").alias("p")).select("id", "side", "p.n", "p.value"))
     per, measured = ws.write_with(keyed.groupBy("k").agg(F.max(F.col("side") == 0).alias("train"), F.count(F.lit(1)).alias("n")), **size_measures())
     rest = keyed.where("side IS NULL").select("k", F.col("n").alias("f"), "id")
-    touched = join_per_key(rest, per.where("train").select("k"), "k", per.select("k", "n"), measured=measured).groupBy("id").agg(F.expr("bit_or(shiftleft(1L, f))").alias("m"))
+    if not ds.plain:
+        near = _keyed(factor_nodes(ds)).join(rows.where("side IS NULL").select("id"), "id", "left_semi")
+        rest, measured = near.select("k", F.col("n").alias("f"), "id"), None
+    touched = join_per_key(rest, per.where("train").select("k"), "k", per.select("k", "n") if ds.plain else None, measured=measured).groupBy("id").agg(F.expr("bit_or(shiftleft(1L, f))").alias("m"))
     left = rows.where("side IS NULL").select("id").join(touched, "id", "left").fillna(0, ["m"])
     k = len(ds.factors)
     digits = F.concat(*[F.when(F.expr(f"shiftright(m, {n}) & 1 = 1"), "0").otherwise("1") for n in range(k)])
@@ -55,7 +59,12 @@ def overlap_stats(ds: SplitDataset, partition: DataFrame) -> DataFrame:
     bits = [F.when(F.floor(F.col("split") / 63) == w, F.expr("shiftleft(1L, cast(split % 63 as int))")).otherwise(F.lit(0).cast("bigint")).alias(f"b{w}") for w in words]
     either = [F.bit_or(f"b{w}").alias(f"b{w}") for w in words]
     per, measured = ws.write_with(keyed.select("k", *bits).groupBy("k").agg(*either, F.count(F.lit(1)).alias("n")), **size_measures())
-    met = join_per_key(keyed, per.drop("n"), "k", per.select("k", "n"), measured=measured)
+    if ds.plain:
+        met = join_per_key(keyed, per.drop("n"), "k", per.select("k", "n"), measured=measured)
+    else:
+        named = F.element_at(F.array(*[F.lit(f) for f in ds.factors]), F.col("n") + 1).alias("field")
+        near = _keyed(factor_nodes(ds)).select("k", named, "id").join(partition.select("id", "split"), "id")
+        met = join_per_key(near, per.drop("n"), "k")
     hit = met.groupBy("id", "split", "field").agg(*either).groupBy("split", "field", *[f"b{w}" for w in words]).agg(F.count(F.lit(1)).alias("c"))
     hit = hit.select(F.explode(F.flatten(F.array(*[_bits(w) for w in words]))).alias("split_a"), F.col("split").alias("split_b"), "field", "c").where("split_a <> split_b")
     counts = hit.groupBy("split_a", "split_b", "field").agg(F.sum("c").alias("n_overlap"))
@@ -73,6 +82,18 @@ def split_stats(ds: SplitDataset, specs: tuple[ConstraintSpec, ...], partition:
     return side_stats(ds, specs, members).drop("side").withColumnRenamed("cand_id", "split")
 
 
+def split_distributions(ds: SplitDataset, specs: tuple[ConstraintSpec, ...], partition: DataFrame) -> DataFrame:
+    """``(split, constraint, value, share)``: the smoothed distribution of every kl or kl_tuple constraint (by position) in every split; values are texts."""
+    members = partition.select(F.col("split").cast("bigint").alias("cand_id"), "id", F.lit(0).alias("side"))
+    out = ds.records.sparkSession.createDataFrame([], "split bigint, constraint int, value string, share double")
+    for i, s in enumerate(specs):
+        if s.name in ("kl", "kl_tuple"):
+            v = s.values or {}
+            dist = distributions(ds, i, members, members.select("cand_id").distinct(), float(v.get("smooth", 1e-6)), v.get("vocab"))
+            out = out.union(dist.select(F.col("cand_id").alias("split"), F.lit(i).alias("constraint"), F.col("value").cast("string"), F.col("p0").alias("share")))
+    return out
+
+
 def best_so_far(history: DataFrame) -> DataFrame:
     """``(run, iter, total, best)``: the least total up to each iteration of each run."""
     w = Window.partitionBy("run").orderBy("iter").rowsBetween(Window.unboundedPreceding, 0)

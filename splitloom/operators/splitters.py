@@ -1,12 +1,13 @@
 """Searches for a good split, by name.
 
-Every search returns ``SplitResult``: the assignment ``(id, side)``, the history ``(run, iter, total, bits)`` and the scores of the best.
+Every search returns ``SplitResult``: the assignment ``(id, side)``, the history ``(run, iter, total, bits, scores)``, with the score of each
+constraint, and the total of the best.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,9 @@ from splitloom.operators import candidates as cd
 from splitloom.operators import graph as gr
 from splitloom.operators import kernel as kn
 from splitloom.operators.constraints import constraint_scores
-from splitloom.operators.dataset import SplitDataset
+from splitloom.operators.dataset import Relation, SplitDataset
 from splitloom.operators.edges import class_representatives, classes, tagged
+from splitloom.operators.related import related_edges
 from splitloom.workspace import Workspace, join_per_key
 
 
@@ -34,7 +36,7 @@ class SplitResult:
 PACKED = 20_000_000
 #: Classes of copies whose affinities are held as a dense matrix.
 MAX_CLASSES = 4000
-_HISTORY = "run int, iter int, total double, bits string"
+_HISTORY = "run int, iter int, total double, bits string, scores array<double>"
 REGISTRY: dict[str, Callable[[SplitDataset, SplitConfig], SplitResult]] = {}
 
 
@@ -56,11 +58,15 @@ def split(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     return REGISTRY[name](ds, conf)
 
 
-def random_candidates(ds: SplitDataset, n_candidates: int, seed: int) -> tuple[DataFrame, cd.RandomSides]:
+def random_candidates(ds: SplitDataset, n_candidates: int, seed: int) -> tuple[DataFrame, cd.RandomSides | cd.PackedSides]:
     """``(cand_id)`` of the usable candidates, and the members of all."""
     masks = cd.random_masks(ds.postings().select("n", "value").distinct(), n_candidates, seed)
     cands = ds.records.sparkSession.range(n_candidates).select(F.col("id").alias("cand_id")).join(cd.constant_candidates(masks, n_candidates), "cand_id", "left_anti")
-    return cands, cd.RandomSides(ds, n_candidates, seed)
+    if ds.plain:
+        return cands, cd.RandomSides(ds, n_candidates, seed)
+    # records near a value belong to its graph, too
+    ws = Workspace(ds.records.sparkSession, "random")
+    return cands, cd.PackedSides(ws.write(cd.packed_sides(gr.factor_nodes(ds), masks, len(ds.factors))), n_candidates)
 
 
 @register("random")
@@ -72,7 +78,8 @@ def random_search(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     best = cd.best_candidate(scores).first()
     if best is None:
         raise ValueError("no usable candidate: a factor has fewer than two values, or max_iter is too small")
-    history = scores.select(F.lit(conf.seed).alias("run"), F.col("cand_id").cast("int").alias("iter"), "total", F.lit(None).cast("string").alias("bits"))
+    parts = F.array(*[F.col(f"score{i}") for i in range(len(conf.specs))]).cast("array<double>")
+    history = scores.select(F.lit(conf.seed).alias("run"), F.col("cand_id").cast("int").alias("iter"), "total", F.lit(None).cast("string").alias("bits"), parts.alias("scores"))
     return SplitResult(members.only(best["cand_id"]), history, best["total"])
 
 
@@ -84,7 +91,7 @@ def _kernel_result(ds: SplitDataset, k: kn.Kernel, side: np.ndarray, history: li
 
 
 def vns_runs(ds: SplitDataset, conf: SplitConfig, seeds: list[int]) -> tuple[kn.Kernel, DataFrame]:
-    """``(run, iter, total, bits, sides)`` of one search per seed, each in a task of its own; ``sides`` stands in the last row of a run."""
+    """``(run, iter, total, bits, scores, sides)`` of one search per seed, each in a task of its own; ``sides`` stands in the last row of a run."""
     spark = ds.records.sparkSession
     k = kn.load_kernel(ds, conf.specs, conf.constraint_weights)
     sent = spark.sparkContext.broadcast(k)
@@ -92,12 +99,12 @@ def vns_runs(ds: SplitDataset, conf: SplitConfig, seeds: list[int]) -> tuple[kn.
 
     def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
         side, history = kn.variable_neighbourhood_search(sent.value, int(key[0]), *args)
-        out = pd.DataFrame(history, columns=["iter", "total", "bits"])
+        out = pd.DataFrame(history, columns=["iter", "total", "bits", "scores"])
         out.insert(0, "run", int(key[0]))
         out["sides"] = [None] * (len(out) - 1) + ["".join("01-"[s] for s in side)]
         return out
 
-    return k, spark.createDataFrame([(s,) for s in seeds], "run int").groupBy("run").applyInPandas(run, "run int, iter int, total double, bits string, sides string")
+    return k, spark.createDataFrame([(s,) for s in seeds], "run int").groupBy("run").applyInPandas(run, f"{_HISTORY}, sides string")
 
 
 @register("vns")
@@ -105,12 +112,12 @@ def vns(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     """Variable neighbourhood search; in one task for data that fits there, as packed jobs over DataFrames otherwise."""
     if conf.check_complete and gr.is_complete(ds).first()["is_complete"]:
         raise ValueError("every two records share a value: nothing can be held out")
-    if ds.postings().limit(kn.MAX_POSTINGS + 1).count() > kn.MAX_POSTINGS or ds.records.limit(kn.MAX_POSTINGS + 1).count() > kn.MAX_POSTINGS:
+    if gr.factor_nodes(ds).limit(kn.MAX_POSTINGS + 1).count() > kn.MAX_POSTINGS or ds.records.limit(kn.MAX_POSTINGS + 1).count() > kn.MAX_POSTINGS:
         return vns_large(ds, conf)
     k, runs = vns_runs(ds, conf, [conf.seed])
     rows = sorted(runs.collect(), key=lambda r: r["iter"])
     side = np.array(["01-".index(c) for c in rows[-1]["sides"]])
-    return _kernel_result(ds, k, np.where(side == 2, -1, side), [(r["iter"], r["total"], r["bits"]) for r in rows], conf.seed, rows[-1]["total"])
+    return _kernel_result(ds, k, np.where(side == 2, -1, side), [(r["iter"], r["total"], r["bits"], r["scores"]) for r in rows], conf.seed, rows[-1]["total"])
 
 
 def vns_large(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
@@ -121,7 +128,7 @@ def vns_large(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     """
     spark, ws = ds.records.sparkSession, Workspace(ds.records.sparkSession, "vns")
     rng = np.random.default_rng(conf.seed)
-    postings, seen = ws.write_with(ds.postings().select("n", "value", "id"), rows=F.count(F.lit(1)))
+    postings, seen = ws.write_with(gr.factor_nodes(ds).select("n", "value", "id"), rows=F.count(F.lit(1)))
     values = ws.write(ds.values().select("n", "value", F.col("pos").cast("int").alias("pos")))
     sizes = {r["n"]: r["c"] for r in values.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     if any(sizes.get(n, 0) < 2 for n in range(len(ds.factors))):
@@ -148,7 +155,7 @@ def vns_large(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
         mask = F.when(F.col("on"), F.lit(cd.FULL)).otherwise(F.lit(0)).cast("bigint").bitwiseXOR(F.coalesce("flip", F.lit(0).cast("bigint")))
         return base.join(F.broadcast(change), ["block", "n", "pos"], "left").select("block", "n", "value", mask.alias("mask"))
 
-    def best_of(bits: list[np.ndarray], options: list[list[tuple[int, int]]]) -> tuple[float, list[tuple[int, int]]]:
+    def best_of(bits: list[np.ndarray], options: list[list[tuple[int, int]]]) -> tuple[float, list[tuple[int, int]], list[float]]:
         found = []
         step = cd.BLOCK * max(1, PACKED // max(1, seen["rows"]))
         for a in range(0, len(options), step):
@@ -157,36 +164,37 @@ def vns_large(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
             cands = spark.range(len(part)).select(F.col("id").alias("cand_id"))
             top = cd.best_candidate(constraint_scores(ds, conf.specs, cd.PackedSides(sides, len(part)), cands, conf.constraint_weights)).first()
             ws.drop(sides)
-            found.append((float(top["total"]), a + top["cand_id"]))
-        total, i = min(found)
-        return total, options[i]
+            found.append((float(top["total"]), a + top["cand_id"], [top[f"score{i}"] for i in range(len(conf.specs))]))
+        total, i, parts = min(found, key=lambda x: x[:2])
+        return total, options[i], parts
 
     def moved(bits: list[np.ndarray], option: list[tuple[int, int]]) -> list[np.ndarray]:
         for at in option:
             bits = kn.flipped(bits, at)
         return bits
 
-    total = best_of(best, [[]])[0]
-    history = [(conf.seed, 0, total, kn.bit_text(best))]
+    total, _, parts = best_of(best, [[]])
+    history = [(conf.seed, 0, total, kn.bit_text(best), parts)]
     for it in range(1, (200 if conf.max_iter is None else conf.max_iter) + 1):
         for depth in range(1, conf.num_shake_neighborhoods + 1):
             shake = kn.sampled_flips(best, depth, 1, rng)
             if not shake:
                 continue
             point = moved(best, shake[0])
-            low, found = best_of(point, [[]])[0], point
+            low, _, low_parts = best_of(point, [[]])
+            found = point
             for near in range(1, conf.num_search_neighborhoods + 1):
                 options = kn.sampled_flips(point, near, conf.max_neighbors, rng)
                 if options:
-                    s, option = best_of(point, options)
+                    s, option, s_parts = best_of(point, options)
                     if s < low:
-                        found, low = moved(point, option), s
+                        found, low, low_parts = moved(point, option), s, s_parts
                         break
             if low < total:
-                best, total = found, low
+                best, total, parts = found, low, low_parts
                 break
         # an incumbent that stays shares its text
-        history.append((conf.seed, it, total, history[-1][3] if total == history[-1][2] else kn.bit_text(best)))
+        history.append((conf.seed, it, total, history[-1][3] if total == history[-1][2] else kn.bit_text(best), parts))
     sides = cd.packed_sides(postings, masks_of(best, [[]]), len(ds.factors))
     return SplitResult(ws.write(cd.unpack_members(sides, 1).select("id", "side")), spark.createDataFrame(history, _HISTORY), total)
 
@@ -195,58 +203,56 @@ def vns_large(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
 def min_node_cut(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     """Best of 1 + max_iter random minimum node cuts of a connected, incomplete similarity graph; one task per share of the cuts.
 
-    Copies (records with equal values) are adjacent and have the same neighbours, so they are added as vertices of their own.
+    Copies (records with equal values) are one vertex that weighs as many records, shared values are vertices that cannot be cut, so
+    the graph has an edge per class and value. It is held in memory: more than MAX_POSTINGS postings are an error.
     """
     spark = ds.records.sparkSession
-    member, edges = gr.graph_tables(ds)
     k = kn.load_kernel(ds, conf.specs, conf.constraint_weights)
-    if len(k.ids) > 20_000:
-        raise ValueError("node cuts are for graphs of a few thousand records")
-    group: dict[str, list[str]] = {}
-    for r in member.collect():
-        group.setdefault(r["class_id"], []).append(r["id"])
-    pairs = [(a, b) for c in group.values() for i, a in enumerate(c) for b in c[:i]]
-    pairs += [(a, b) for e in edges.collect() for a in group[e["src"]] for b in group[e["dst"]]]
-    graph = gr.adjacency(pairs)
-    for i in k.ids:
-        graph.setdefault(i, set())
+    member, sizes, hubs = gr.class_graph(ds)
+    size: dict[str, float] = {r["class_id"]: r["class_size"] for r in sizes.collect()}
+    graph = gr.adjacency([(r["class_id"], r["hub"]) for r in hubs.collect()])
+    names = sorted(size)
+    for c in names:
+        graph.setdefault(c, set())
     if len(gr.plain_components(graph)) > 1:
         raise ValueError("the graph is not connected: split its components instead")
-    if all(len(s) == len(k.ids) - 1 for s in graph.values()):
+    if all(len(set().union(*(graph[h] for h in graph[c]))) == len(names) for c in names) or len(names) < 2:
         raise ValueError("the graph is complete: nothing can be held out")
-    sent = spark.sparkContext.broadcast((k, dict(graph)))
+    number = {c: i for i, c in enumerate(names)}
+    of = {r["id"]: number[r["class_id"]] for r in member.collect()}
+    of = np.array([of[i] for i in k.ids])
+    weight = size | {h: np.inf for h in graph if h.startswith(gr.HUB)}
+    sent = spark.sparkContext.broadcast((k, dict(graph), weight, names, of))
     seed, n = conf.seed, 1 + (200 if conf.max_iter is None else conf.max_iter)
 
     def cuts(batches):
-        kern, g = sent.value
-        ids = sorted(g)
-        at = {x: i for i, x in enumerate(kern.ids)}
+        kern, g, w, classes_, class_of = sent.value
         for pdf in batches:
             rows = []
             for it in pdf["id"]:
                 rng = np.random.default_rng([seed, int(it)])
                 while True:
-                    s, t = (ids[int(x)] for x in rng.integers(len(ids), size=2))
-                    if s != t and t not in g[s]:
+                    s, t = (classes_[class_of[int(x)]] for x in rng.integers(len(class_of), size=2))
+                    if s != t and not g[s] & g[t]:
                         break
-                train, held = gr.cut_sides(g, gr.minimum_node_cut(g, s, t), rng.shuffle)
-                side = np.full(len(kern.ids), -1)
-                side[[at[x] for x in train]] = 0
-                side[[at[x] for x in held]] = 1
-                rows.append((int(it), kern.score(side)[0], "".join("01-"[x] for x in side)))
-            yield pd.DataFrame(rows, columns=["iter", "total", "sides"])
+                train, held = gr.cut_sides(g, gr.minimum_node_cut(g, s, t, w), rng.shuffle)
+                side = np.array([0 if c in train else 1 if c in held else -1 for c in classes_])[class_of]
+                rows.append((int(it), *kern.score(side), "".join("01-"[x] for x in side)))
+            yield pd.DataFrame(rows, columns=["iter", "total", "scores", "sides"])
 
-    found = spark.range(n).repartition(min(n, spark.sparkContext.defaultParallelism)).mapInPandas(cuts, "iter int, total double, sides string")
-    rows = sorted(found.collect(), key=lambda r: (r["total"], r["iter"]))
-    side = np.array(["01-".index(c) for c in rows[0]["sides"]])
-    return _kernel_result(ds, k, np.where(side == 2, -1, side), [(r["iter"], r["total"], None) for r in sorted(rows, key=lambda r: r["iter"])], seed, rows[0]["total"])
+    found = spark.range(n).repartition(min(n, spark.sparkContext.defaultParallelism)).mapInPandas(cuts, "iter int, total double, scores array<double>, sides string")
+    found = Workspace(spark, "cuts").write(found)
+    best = found.orderBy("total", "iter").limit(1).first()
+    side = np.array(["01-".index(c) for c in best["sides"]])
+    history = [(r["iter"], r["total"], None, r["scores"]) for r in found.select("iter", "total", "scores").orderBy("iter").collect()]
+    return _kernel_result(ds, k, np.where(side == 2, -1, side), history, seed, best["total"])
 
 
 @register("spectral_clustering")
 def spectral(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     """Largest cluster to train, second largest to the held-out side; the others are unused.
 
-    Affinity: number of shared values plus a small constant off the diagonal. Copies are folded into classes of their size and stay together.
+    Affinity: similarity (by default the number of shared values) plus a small constant off the diagonal. Copies are folded into classes of their size and stay together.
     Dense eigenvectors up to MAX_CLASSES classes, however many records; the same matrix by subspace iteration over postings
     (an approximation) beyond. Every record gets a cluster. Ties in size go to the cluster with the smaller member.
     """
@@ -257,13 +263,19 @@ def spectral(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     reps = ws.write(class_representatives(ds))
     postings, sizes = class_postings(ds, reps)
     small = sizes.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES and postings.limit(kn.MAX_POSTINGS + 1).count() <= kn.MAX_POSTINGS
-    label = (_spectral_dense if small else _spectral_large)(ws, ws.write(postings), ws.write(sizes), conf)
+    if any(r != Relation() for r in ds.relations):
+        if not small:
+            raise ValueError(f"with similarities other than equal values at most {MAX_CLASSES} classes of copies are clustered")
+        label = _spectral_related(ds, ws, reps, conf)
+    else:
+        label = (_spectral_dense if small else _spectral_large)(ws, ws.write(postings), ws.write(sizes), conf)
     rows = ws.write(member.join(label, "class_id").select("id", "cluster"))
     ranked = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("m")).orderBy(F.desc("c"), "m").limit(2).collect()
     side = spark.createDataFrame([(r["cluster"], s) for s, r in enumerate(ranked)], "cluster int, side int")
     out = ws.write(rows.join(F.broadcast(side), "cluster").select(F.lit(0).cast("bigint").alias("cand_id"), "id", "side"))
-    total = constraint_scores(ds, conf.specs, out, spark.range(1).toDF("cand_id"), conf.constraint_weights).first()["total"]
-    return SplitResult(out.select("id", "side"), spark.createDataFrame([(conf.seed, 0, float(total), None)], _HISTORY), float(total))
+    top = constraint_scores(ds, conf.specs, out, spark.range(1).toDF("cand_id"), conf.constraint_weights).first()
+    row = (conf.seed, 0, float(top["total"]), None, [top[f"score{i}"] for i in range(len(conf.specs))])
+    return SplitResult(out.select("id", "side"), spark.createDataFrame([row], _HISTORY), float(top["total"]))
 
 
 def class_postings(ds: SplitDataset, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -282,6 +294,19 @@ def _spectral_dense(ws: Workspace, postings: DataFrame, sizes: DataFrame, conf:
     return ws.spark.createDataFrame([(r["class_id"], int(c)) for r, c in zip(rows, label)], f"class_id {sizes.schema['class_id'].dataType.simpleString()}, cluster int")
 
 
+def _spectral_related(ds: SplitDataset, ws: Workspace, reps: DataFrame, conf: SplitConfig) -> DataFrame:
+    """The dense way with the similarities and weights of the dataset."""
+    rows = reps.select("class_id", F.col("class_size").cast("double").alias("s"), *[F.size(f).alias(f"n{i}") for i, f in enumerate(ds.factors)]).orderBy("class_id").collect()
+    at = {r["class_id"]: i for i, r in enumerate(rows)}
+    shared = np.zeros((len(rows), len(rows)))
+    for r in related_edges(ds, reps).toLocalIterator():
+        shared[at[r["src"]], at[r["dst"]]] = shared[at[r["dst"]], at[r["src"]]] = r["capacity"]
+    for i, r in enumerate(rows):
+        shared[i, i] = sum(x.weight * (r[f"n{n}"] if x.name == "set_intersection" else float(r[f"n{n}"] > 0)) for n, x in enumerate(ds.relations))
+    label = kn.affinity_labels(shared, np.array([r["s"] for r in rows]), conf.spectral_smoothing, min(conf.num_splits, len(rows)), conf.seed)
+    return ws.spark.createDataFrame([(r["class_id"], int(c)) for r, c in zip(rows, label)], f"class_id {reps.schema['class_id'].dataType.simpleString()}, cluster int")
+
+
 def _spectral_large(ws: Workspace, postings: DataFrame, sizes: DataFrame, conf: SplitConfig, rounds: int = 60) -> DataFrame:
     """``(class_id, cluster)`` without pairs of classes: a product with the affinity is a sum per value and a sum per class.
 
@@ -345,10 +370,32 @@ def disconnected(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     if comp.select("root").distinct().limit(2).count() < 2:
         raise ValueError("the dataset has one component")
     roots = ds.records.join(comp, "id").withColumn("component", F.array("root")).drop("root")
-    over = SplitDataset(roots, (*ds.fields, "component"), ("component",), ds.constraints, ds.weighting)
+    over = SplitDataset(roots, (*ds.fields, "component"), ("component",), ds.constraints, ds.weighting)  # a component is related to itself only
     return random_search(over, conf)
 
 
 def multi_seed(ds: SplitDataset, conf: SplitConfig, jobs: int) -> DataFrame:
-    """``(run, iter, total, bits, sides)`` of vns for the seeds 0 to ``jobs``, that is jobs + 1 runs, one task each."""
+    """``(run, iter, total, bits, scores, sides)`` of vns for the seeds 0 to ``jobs``, that is jobs + 1 runs, one task each."""
     return vns_runs(ds, conf, list(range(jobs + 1)))[1]
+
+
+def best_of_seeds(ds: SplitDataset, conf: SplitConfig, jobs: int) -> SplitResult:
+    """The best of the runs of the configured splitter for the seeds 0 to ``jobs`` (jobs + 1 runs), ties to the smaller seed, with the history of all.
+
+    Runs of vns on data that fits a task are tasks side by side; others follow one another.
+    """
+    if conf.splitter.lower() == "vns":
+        nodes = gr.factor_nodes(ds).limit(kn.MAX_POSTINGS + 1).count()
+        if nodes <= kn.MAX_POSTINGS and ds.records.limit(kn.MAX_POSTINGS + 1).count() <= kn.MAX_POSTINGS:
+            k, runs = vns_runs(ds, conf, list(range(jobs + 1)))
+            rows = sorted(runs.collect(), key=lambda r: (r["run"], r["iter"]))
+            last = min((r for r in rows if r["sides"] is not None), key=lambda r: (r["total"], r["run"]))
+            side = np.array(["01-".index(c) for c in last["sides"]])
+            out = _kernel_result(ds, k, np.where(side == 2, -1, side), [], last["run"], last["total"])
+            return SplitResult(out.assignment, ds.records.sparkSession.createDataFrame([(r["run"], r["iter"], r["total"], r["bits"], r["scores"]) for r in rows], _HISTORY), last["total"])
+    found = [split(ds, replace(conf, seed=s)) for s in range(jobs + 1)]
+    history = found[0].history
+    for r in found[1:]:
+        history = history.unionByName(r.history)
+    best = min(found, key=lambda r: r.total)
+    return SplitResult(best.assignment, history, best.total)

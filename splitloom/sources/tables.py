@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitloom.config import TYPES, SplitConfig
-from splitloom.operators.dataset import SplitDataset
+from splitloom.operators.dataset import Relation, SplitDataset
 
 
 def multi_value(cell, kind: str):
@@ -26,7 +26,9 @@ def dataset(records: DataFrame, conf: SplitConfig) -> SplitDataset:
         raise ValueError(f"field indices must be between 1 and {len(fields)}")
     if "weights" not in records.columns:
         records = records.withColumn("weights", F.array(F.lit(1.0)))
-    return SplitDataset(records, tuple(fields), tuple(fields[i - 1] for i in sorted(conf.factors)), tuple(fields[i - 1] for i in conf.constraints), conf.weighting)
+    order = sorted(range(len(conf.factors)), key=lambda i: conf.factors[i])
+    factors, similar = tuple(fields[conf.factors[i] - 1] for i in order), tuple(Relation(*conf.relation(i)) for i in order)
+    return SplitDataset(records, tuple(fields), factors, tuple(fields[i - 1] for i in conf.constraints), conf.weighting, similar)
 
 
 def read_tsv(spark: SparkSession, path: str | list[str], conf: SplitConfig) -> SplitDataset:

@@ -400,12 +400,13 @@ def test_configurations():
             parse_config(bad, 3)
 
 
-@pytest.mark.parametrize("extra", [{"similarity_functions": ["cosine"]}, {"similarity_functions": ["gaussian"]}, {"similarity_functions": ["levenshtein"]}, {"similarity_functions": ["boolean"]}, {"factor_weights": [0.5]}])
-def test_similarities_that_are_not_honoured_are_refused(extra):
-    base = {"factor_idxs": [1], "constraint_idxs": [2], "constraints": ["mean"]}
-    assert parse_config(base | {"similarity_functions": ["set_intersection"], "factor_weights": [1]}).factor_weights == (1.0,)
-    with pytest.raises(ValueError, match="not honoured"):
-        parse_config(base | extra)
+def test_similarities_of_a_configuration():
+    base = {"factor_idxs": [2, 1], "constraint_idxs": [2], "constraints": ["mean"], "similarity_functions": ["gaussian", "levenshtein"], "factor_weights": [2, 0.5], "Gaussian_thresh": 0.3, "levenshtein_thresh": 0.6}
+    c = parse_config(base)
+    assert [c.relation(i) for i in (0, 1)] == [("gaussian", 0.3, 2.0), ("levenshtein", 0.6, 0.5)]
+    for bad in ({"similarity_functions": ["gaussian", "no such"]}, {"factor_weights": [1, 0]}, {"similarity_functions": ["gaussian"]}):
+        with pytest.raises(ValueError):
+            parse_config(base | bad)
 
 
 def test_command_line(spark, dummy_tsv, tmp_path):
@@ -419,6 +420,28 @@ def test_command_line(spark, dummy_tsv, tmp_path):
     assert tables.read_partition(spark, str(tmp_path / "out/partition")).count() == 7
     assert json.loads((tmp_path / "out/config.json").read_text())["seed"] == 3
     assert spark.read.json(str(tmp_path / "out/overlaps")).count() > 0
+    assert {len(r["scores"]) for r in spark.read.json(str(tmp_path / "out/history")).where("total < 99999").collect()} == {3}
+    run(spark, str(tmp_path / "seeds"), str(tmp_path / "c.yaml"), [dummy_tsv], jobs=2, top=2)
+    assert spark.read.json(str(tmp_path / "seeds/best_seeds")).count() == 2
+
+
+def test_the_configured_similarity_changes_what_is_related(spark, dummy_tsv, tmp_path):
+    import yaml
+
+    from splitloom.cli import run
+
+    base = {"factor_types": TYPES, "factor_idxs": [4], "constraint_idxs": [3], "constraints": [{"name": "kl", "values": {"smooth": 0.1}}], "splitter": "random", "max_iter": 300, "gaussian_thresh": 0.001}
+    sides = {}
+    for name in ("set_intersection", "gaussian"):
+        (tmp_path / "c.yaml").write_text(yaml.safe_dump(base | {"similarity_functions": [name]}))
+        run(spark, str(tmp_path / name), str(tmp_path / "c.yaml"), [dummy_tsv])
+        sides[name] = {r["id"]: r["split"] for r in tables.read_partition(spark, str(tmp_path / name / "partition")).collect()}
+        shown = {r["value"] for r in spark.read.json(str(tmp_path / name / "distributions")).collect()}
+        assert shown == {"0.0", "1.0"}
+    # durations 2.3 and 4 as well as 31.0 and 32.5 are near each other: no such pair is on two sides
+    for a, b in (("a", "c"), ("e", "f")):
+        assert {sides["gaussian"][a], sides["gaussian"][b]} != {0, 1}
+    assert set(sides["set_intersection"].values()) == {0, 1}
 
 
 def test_stream_equals_batch(spark, tmp_path):
