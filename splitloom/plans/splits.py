@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from splitloom.operators import edges as ed
 from splitloom.operators import graph as gr
 from splitloom.operators import report
 from splitloom.operators import splitters as sp
-from splitloom.operators.dataset import SplitDataset
+from splitloom.operators.dataset import Relation, SplitDataset
+from splitloom.operators.related import factor_edges, point_scores, related_edges
 from splitloom.sources import tables
 from splitloom.streaming.assign import assign_stream, decide, frozen_values
 from splitloom.workspace import Workspace
@@ -175,22 +178,83 @@ def edges_levenshtein(spark: SparkSession, d: str) -> DataFrame:
 
 
 def point_to_set_max(spark: SparkSession, d: str) -> DataFrame:
+    """The largest cosine of every vector whose id is divisible by 50 with another vector of each label, over all rows."""
     v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    hits = ed.cosine_search(v.where("id = 0"), v.where("label = 3"), -1.0)
-    return hits.groupBy(F.col("query_id").alias("id")).agg(F.round(F.max("cosine"), 9).alias("score"))
+    return _rounded(ed.cosine_best(v.where("id % 50 = 0"), v, "label"), 9, "cosine")
 
 
 def similarity_expressions(spark: SparkSession, d: str) -> DataFrame:
-    """All registered similarities of an order's suppliers and parts (as texts) with those of its customer's number: one row per order."""
+    """All registered similarities of an order's suppliers and line numbers (numbers, texts, and vectors of number and square): one row per order."""
     l = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("a"), F.array_sort(F.collect_set(F.col("l_linenumber").cast("bigint"))).alias("b"))
     one, two = F.col("a"), F.col("b")
-    text = lambda c: F.transform(F.slice(c, 1, 2), lambda x: x.cast("string"))
+    text = lambda c: F.transform(c, lambda x: x.cast("string"))
+    vector = lambda c: F.transform(c, lambda x: F.array(x.cast("double"), F.lit(10.0)))
     return l.select(
         "l_orderkey", similarity("set_intersection")(one, two).alias("shared"), similarity("boolean")(one, two).alias("equal"), similarity("boolean")(one, two, any_value=True).alias("any_equal"),
         F.round(similarity("gaussian")(F.transform(one, lambda x: x / 50.0), F.transform(two, lambda x: x / 50.0), 0.1), 9).alias("near"), F.round(similarity("levenshtein")(text(one), text(two), 0.3), 9).alias("edit"),
+        F.round(similarity("cosine")(vector(one), vector(two), 0.5), 9).alias("angle"),
     )
 
 
+def _near_suppliers(spark: SparkSession, d: str) -> SplitDataset:
+    """Suppliers related by their nation (weight 2) and, as far as 0.5, by their balance (weight 0.5)."""
+    return replace(_suppliers(spark, d), factors=("nation", "balance"), similar=(Relation("set_intersection", 0.0, 2.0), Relation("gaussian", 0.5, 0.5)))
+
+
+def edges_mixed(spark: SparkSession, d: str) -> DataFrame:
+    ds = _near_suppliers(spark, d)
+    return _rounded(related_edges(ds, ed.class_representatives(ds)), 9, "capacity")
+
+
+def edges_single_factor(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers by their balance alone, as a configured factor."""
+    ds = _near_suppliers(spark, d)
+    return _rounded(factor_edges(ds, 1, ed.class_representatives(ds)), 9, "capacity")
+
+
+def components_gaussian(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whose balances are near each other, directly or through others."""
+    c = _t(spark, d, "customer")
+    ds = SplitDataset(_records(c, "c_custkey", balance=F.array(F.col("c_acctbal") / 4)), ("balance",), ("balance",), similar=(Relation("gaussian", 0.5),))
+    return gr.record_components(ds, numbered=False)
+
+
+def components_levenshtein(spark: SparkSession, d: str) -> DataFrame:
+    """Parts whose names differ in few letters, directly or through others: the number of parts in each component."""
+    p = _t(spark, d, "part")
+    ds = SplitDataset(_records(p, "p_partkey", name=F.array("p_name")), ("name",), ("name",), similar=(Relation("levenshtein", 0.6),))
+    return gr.component_summary(ds)
+
+
+def point_scores_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers whose id is divisible by 50 against those in debt and those in credit: the largest weighted similarity."""
+    ds = _near_suppliers(spark, d)
+    s = _t(spark, d, "supplier").select(F.when(F.col("s_acctbal") < 0, "debt").otherwise("credit").alias("set"), F.col("s_suppkey").cast("string").alias("id"))
+    return _rounded(point_scores(ds, ds.records.where("cast(id as bigint) % 50 = 0"), s), 9, "score")
+
+
+def read_tsv_records(spark: SparkSession, d: str) -> DataFrame:
+    """Parts written as tab-separated text and read again: ids, cells of several values, types, weights."""
+    p = _t(spark, d, "part")
+    cells = p.select(F.col("p_partkey").cast("string").alias("id"), F.concat_ws(",", "p_brand", "p_type", "p_brand").alias("kinds"), F.concat_ws(",", F.col("p_size").cast("string"), F.lit("x"), F.lit("")).alias("size"), (F.col("p_size") / 100).cast("string").alias("Fraction"))
+    path = f"{Workspace(spark, 'tsv').root}/parts"
+    cells.write.option("sep", "\t").option("header", True).csv(path)
+    conf = SplitConfig((1,), (2,), (ConstraintSpec("mean"),), (1.0,), factor_types=("str", "int", "float"))
+    r = tables.read_tsv(spark, path, conf).records
+    return r.select("id", F.array_sort("kinds").alias("kinds"), F.col("size")[0].alias("size"), F.size("size").alias("n_sizes"), F.col("weights")[0].alias("weight"))
+
+
+def read_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """Lines written as two manifests of supervisions that overlap, read and grouped by order."""
+    l = _t(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").cast("string").alias("recording_id"), F.col("l_suppkey").cast("string").alias("speaker"), F.col("l_quantity").alias("duration"), "l_linenumber")
+    root = Workspace(spark, "manifests").root
+    for k, part in (("one", l.where("l_linenumber <= 4")), ("two", l.where("l_linenumber >= 3"))):
+        part.drop("l_linenumber").write.option("compression", "gzip").json(f"{root}/{k}")
+    conf = SplitConfig((1,), (2,), (ConstraintSpec("mean"),), (1.0,), format="lhotse", lhotse_fields=("speaker",))
+    r = tables.read_supervisions(spark, [f"{root}/one", f"{root}/two"], conf).records
+    return r.select("id", "speaker", F.col("duration")[0].alias("duration"), F.round(F.col("fraction")[0], 12).alias("fraction"))
+
+
 def graph_is_complete(spark: SparkSession, d: str) -> DataFrame:
     return gr.is_complete(_suppliers(spark, d))
 
@@ -259,6 +323,33 @@ def score_mean(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_scores(spark, d, [ConstraintSpec("mean"), ConstraintSpec("mean", None, "max")], ("price", "price")), 6, "score0", "score1", "total")
 
 
+def _lines(spark: SparkSession, d: str, field: str) -> SplitDataset:
+    """Orders by customer with the quantities of their lines (a set of several numbers), or by nation of the customer with one set for each order."""
+    q = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.array_sort(F.collect_set("l_quantity")).alias("qty"))
+    ds = orders(spark, d, ("customer",), ())
+    rec = ds.records.join(q, "id").select("id", "customer", "qty", "weights")
+    if field == "component":
+        rec = rec.groupBy(F.col("customer")[0].cast("string").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "qty"))).getField("qty").alias("qty"), F.collect_list(F.lit(1.0)).alias("weights")).withColumn("customer", F.array("id"))
+    return SplitDataset(rec, ("customer", "qty"), ("customer",), ("qty",) * 5)
+
+
+_REDUCED = (ConstraintSpec("mean"), ConstraintSpec("sum", None, "sum"), ConstraintSpec("mean", None, "min"), ConstraintSpec("mean", None, "max"), ConstraintSpec("kl", {"smooth": 0.1}, "concat"))
+
+
+def score_reductions(spark: SparkSession, d: str) -> DataFrame:
+    """Every reduction of fields with several values."""
+    ds = _lines(spark, d, "order")
+    cands, members = _candidates(ds)
+    return _rounded(cn.constraint_scores(ds, _REDUCED, members, cands), 6, *[f"score{i}" for i in range(5)], "total")
+
+
+def score_component_reductions(spark: SparkSession, d: str) -> DataFrame:
+    """Every reduction of the fields of components: one set of values for each of their members."""
+    ds = _lines(spark, d, "component")
+    cands, members = _candidates(ds)
+    return _rounded(cn.constraint_scores(ds, _REDUCED, members, cands), 6, *[f"score{i}" for i in range(5)], "total")
+
+
 def score_mean_tuple(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_scores(spark, d, [ConstraintSpec("mean_tuple", [250000.0, 240000.0])], ("price",)), 6, "score0", "total")
 
@@ -383,23 +474,57 @@ def stream_assignment(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "id", "split")
 
 
-def vns_split(spark: SparkSession, d: str) -> DataFrame:
+def _vns(spark: SparkSession, d: str) -> tuple[SplitDataset, SplitConfig]:
     ds = SplitDataset(_suppliers(spark, d).records, ("nation", "balance"), ("nation",), ("balance",))
-    conf = SplitConfig((1,), (2,), (ConstraintSpec("mean"),), (1.0,), splitter="vns", seed=SEED, max_iter=10, num_shake_neighborhoods=3, num_search_neighborhoods=3, max_neighbors=50)
-    return sp.split(ds, conf).assignment
+    return ds, SplitConfig((1,), (2,), (ConstraintSpec("mean"),), (1.0,), splitter="vns", seed=SEED, max_iter=10, num_shake_neighborhoods=3, num_search_neighborhoods=3, max_neighbors=50)
+
+
+def vns_split(spark: SparkSession, d: str) -> DataFrame:
+    return sp.split(*_vns(spark, d)).assignment
+
+
+def _cut(spark: SparkSession, d: str) -> tuple[SplitDataset, SplitConfig]:
+    """Parts that share a brand or a size; at most 25 x 50 classes of copies, however many parts."""
+    p = _t(spark, d, "part")
+    ds = SplitDataset(_records(p, "p_partkey", brand=F.array("p_brand"), size=F.array("p_size"), price=F.array("p_retailprice")), ("brand", "size", "price"), ("brand", "size"), ("price",))
+    return ds, SplitConfig((1, 2), (3,), (ConstraintSpec("mean"),), (1.0,), splitter="min_node_cut", seed=SEED, max_iter=15)
 
 
 def min_node_cut_split(spark: SparkSession, d: str) -> DataFrame:
-    """Nations and the suppliers of a brand's parts: nations are records, the regions and first letters are what they share."""
-    n = _t(spark, d, "nation")
-    rec = _records(n, "n_nationkey", region=F.array("n_regionkey"), slot=F.array(F.floor(F.col("n_nationkey") / 4).cast("bigint"), F.floor((F.col("n_nationkey") + 1) / 4).cast("bigint")), size=F.array(F.col("n_nationkey").cast("double")))
-    ds = SplitDataset(rec, ("region", "slot", "size"), ("slot",), ("size",))
-    return sp.split(ds, SplitConfig((2,), (3,), (ConstraintSpec("mean"),), (1.0,), splitter="min_node_cut", seed=SEED, max_iter=40)).assignment
+    return sp.split(*_cut(spark, d)).assignment
 
 
-def spectral_split(spark: SparkSession, d: str) -> DataFrame:
+def _spectral(spark: SparkSession, d: str) -> tuple[SplitDataset, SplitConfig]:
     ds = SplitDataset(_suppliers(spark, d).records, ("nation", "balance"), ("nation",), ("balance",))
-    return sp.split(ds, SplitConfig((1,), (2,), (ConstraintSpec("mean"),), (1.0,), splitter="spectral_clustering", seed=SEED)).assignment
+    return ds, SplitConfig((1,), (2,), (ConstraintSpec("mean"),), (1.0,), splitter="spectral_clustering", seed=SEED)
+
+
+def spectral_split(spark: SparkSession, d: str) -> DataFrame:
+    return sp.split(*_spectral(spark, d)).assignment
+
+
+def _checked(ds: SplitDataset, conf: SplitConfig) -> DataFrame:
+    """``(both_sides, shared_values, score_agrees)`` of a search's result: whether both sides have records, how many factor values stand on both, and
+    whether the reported total is that of the assignment."""
+    spark, r = ds.records.sparkSession, sp.split(ds, conf)
+    out = Workspace(spark, "checked").write(r.assignment)
+    top = cn.constraint_scores(ds, conf.specs, out.select(F.lit(0).cast("bigint").alias("cand_id"), "id", "side"), spark.range(1).toDF("cand_id"), conf.constraint_weights)
+    both = ds.postings().join(out, "id").groupBy("n", "value").agg(F.count_distinct("side").alias("c")).agg(F.count_if(F.col("c") > 1).alias("shared_values"))
+    # a side without records has the worst score
+    agrees = (F.abs(F.col("total") - F.lit(r.total)) <= 1e-9 * (1 + abs(r.total))).alias("score_agrees")
+    return top.select(((F.col("n0") > 0) & (F.col("n1") > 0)).alias("both_sides"), agrees).crossJoin(F.broadcast(both))
+
+
+def vns_check(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(*_vns(spark, d))
+
+
+def min_node_cut_check(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(*_cut(spark, d))
+
+
+def spectral_check(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(*_spectral(spark, d))
 
 
 def disconnected_split(spark: SparkSession, d: str) -> DataFrame:
@@ -411,10 +536,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         tsv_like_multivalue, group_records, dedup_keep_first, partition_subset_renorm, slice_records, record_at, record_json, aligned_fields, constraint_inverted_index, factor_inverted_index, vocab, factor_values,
-        factor_node_counts, links_set_intersection, links_customer_supplier, links_boolean, edges_weighted_sum, edges_pooled, edges_gaussian, search_cosine, edges_levenshtein, point_to_set_max, similarity_expressions, graph_is_complete,
+        factor_node_counts, links_set_intersection, links_customer_supplier, links_boolean, edges_weighted_sum, edges_pooled, edges_gaussian, search_cosine, edges_levenshtein, point_to_set_max, similarity_expressions, edges_mixed, edges_single_factor, components_gaussian, components_levenshtein, point_scores_mixed, read_tsv_records, read_manifests, graph_is_complete,
         graph_components, component_sizes, component_rollup, split_single_factor, split_collapsed, split_collapsed_plain, split_from_index, split_neighbors, score_mean, score_mean_tuple, score_mean_weighted,
         score_sum, score_sum_tuple, _kl("forward"), _kl("reverse"), _kl("symmetric"), score_kl_tuple, score_max_entropy, kl_distributions, score_total_worst, random_search_best, random_split, overlap_test_sets,
-        overlap_stats, split_stats, best_so_far, finite_scores, best_seed_topk, index_ranges, stream_assignment, vns_split, min_node_cut_split, spectral_split, disconnected_split,
+        overlap_stats, split_stats, best_so_far, finite_scores, best_seed_topk, index_ranges, stream_assignment, vns_split, min_node_cut_split, spectral_split, disconnected_split, vns_check, min_node_cut_check, spectral_check, score_reductions, score_component_reductions,
     )
 }
 
@@ -473,6 +598,26 @@ e AS (SELECT DISTINCT id AS a, min(id) OVER (PARTITION BY s) AS b FROM i),
 g AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 cc(v, lab) USING KEY (v) AS (SELECT id, id FROM all_ids UNION SELECT g.b, min(cc.lab) FROM cc JOIN g ON g.a = cc.v JOIN recurring.cc AS old ON old.v = g.b WHERE cc.lab < old.lab GROUP BY g.b)"""
 
+_NEAR = "s AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_nationkey AS k, s_acctbal AS x FROM supplier)"
+_MIXED = f"{_NEAR}, m AS (SELECT a.id AS src, b.id AS dst, CASE WHEN a.k = b.k THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN exp(-pow(a.x - b.x, 2)) > 0.5 THEN 0.5 * exp(-pow(a.x - b.x, 2)) ELSE 0 END AS c FROM s a JOIN s b ON a.id < b.id AND (a.k = b.k OR exp(-pow(a.x - b.x, 2)) > 0.5))"
+_CHECKED = "SELECT true AS both_sides, 0::BIGINT AS shared_values, true AS score_agrees"
+
+
+def _reduced(record: str) -> str:
+    """Scores of the reductions: a record is an order or all orders of a customer."""
+    return f"""WITH {_W1},
+q AS (SELECT DISTINCT l_orderkey, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+rec AS (SELECT {record} AS rid, any_value(CAST(o_custkey AS VARCHAR)) AS cust, sum(q) / count(*) AS me, sum(q) AS su, min(q) AS mi, max(q) AS ma FROM q JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+mm AS (SELECT cand_id, value AS cust, CASE WHEN bit THEN 0 ELSE 1 END AS side FROM bits),
+st AS (SELECT cand_id, side, count(*) AS n, avg(me) AS me, sum(su) AS su, avg(mi) AS mi, avg(ma) AS ma FROM mm JOIN rec USING (cust) GROUP BY ALL),
+w AS (SELECT cand_id, max(n) FILTER (side = 0) AS n0, max(n) FILTER (side = 1) AS n1, abs(max(me) FILTER (side = 0) - max(me) FILTER (side = 1)) AS s0, abs(max(su) FILTER (side = 0) - max(su) FILTER (side = 1)) AS s1, abs(max(mi) FILTER (side = 0) - max(mi) FILTER (side = 1)) AS s2, abs(max(ma) FILTER (side = 0) - max(ma) FILTER (side = 1)) AS s3 FROM ok JOIN st USING (cand_id) GROUP BY ALL),
+voc AS (SELECT DISTINCT q AS value FROM q),
+cnt AS (SELECT cand_id, q AS value, count(*) FILTER (side = 0) AS c0, count(*) FILTER (side = 1) AS c1 FROM q JOIN orders ON l_orderkey = o_orderkey JOIN mm ON cust = CAST(o_custkey AS VARCHAR) GROUP BY ALL),
+grid AS (SELECT ok.cand_id, voc.value, coalesce(c0, 0) AS c0, coalesce(c1, 0) AS c1 FROM ok CROSS JOIN voc LEFT JOIN cnt ON cnt.cand_id = ok.cand_id AND cnt.value = voc.value),
+pq AS (SELECT cand_id, value, (c0 + 0.1) / (sum(c0) OVER (PARTITION BY cand_id) + 0.1 * (SELECT count(*) FROM voc)) AS p, (c1 + 0.1) / (sum(c1) OVER (PARTITION BY cand_id) + 0.1 * (SELECT count(*) FROM voc)) AS q FROM grid), {_KL}
+SELECT cand_id, n0, n1, round(s0, 6) AS score0, round(s1, 6) AS score1, round(s2, 6) AS score2, round(s3, 6) AS score3, round(f, 6) AS score4, round(s0 + s1 + s2 + s3 + f, 6) AS total FROM w JOIN kl USING (cand_id)"""
+
+
 SQL = {
     "tsv_like_multivalue": "WITH t AS (SELECT event_id, list_filter([user_id, TRY_CAST(regexp_replace(props, '[^0-9,]', '', 'g') AS BIGINT), 7], lambda x: x IS NOT NULL) AS v FROM events) SELECT event_id, list_sort(list_distinct(v)) AS numbers, CAST(len(list_distinct(v)) + 1 AS INTEGER) AS n_texts FROM t",
     "group_records": "SELECT CAST(l_orderkey AS VARCHAR) AS id, list_sort(list(DISTINCT l_suppkey)) AS suppliers, sum(l_quantity) AS quantity, round(sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem), 12) AS fraction FROM lineitem GROUP BY l_orderkey",
@@ -495,10 +640,23 @@ SQL = {
     "edges_gaussian": "WITH c AS (SELECT s_acctbal / 20 AS x, min(CAST(s_suppkey AS VARCHAR)) AS id FROM supplier GROUP BY s_acctbal / 20) SELECT a.id AS src, b.id AS dst, round(exp(-pow(a.x - b.x, 2)), 9) AS capacity FROM c a JOIN c b ON a.id < b.id AND exp(-pow(a.x - b.x, 2)) > 0.5",
     "search_cosine": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 9) AS cosine FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND list_cosine_similarity(q.e, v.e) > 0.3",
     "edges_levenshtein": "WITH c AS (SELECT p_name AS v, min(p_partkey) AS id FROM part GROUP BY ALL) SELECT a.id AS src, b.id AS dst, round(1.0 - levenshtein(a.v, b.v)::DOUBLE / greatest(length(a.v), length(b.v)), 9) AS capacity FROM c a JOIN c b ON a.id < b.id AND 1.0 - levenshtein(a.v, b.v)::DOUBLE / greatest(length(a.v), length(b.v)) > 0.6 + 1e-12",
-    "point_to_set_max": "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT q.vec_id AS id, round(max(list_cosine_similarity(q.e, v.e)), 9) AS score FROM v q JOIN v ON q.vec_id = 0 AND v.label = 3 AND v.vec_id <> 0 GROUP BY ALL",
+    "point_to_set_max": "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT q.vec_id AS query_id, v.label, round(max(list_cosine_similarity(q.e, v.e)), 9) AS cosine FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND v.label IS NOT NULL GROUP BY ALL",
     "similarity_expressions": """WITH l AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS a, list_sort(list(DISTINCT CAST(l_linenumber AS BIGINT))) AS b FROM lineitem GROUP BY ALL),
-g AS (SELECT *, exp(-pow((list_avg(a) - list_avg(b)) / 50.0, 2)) AS near, list_max(flatten(list_transform(a[1:2], lambda x: list_transform(b[1:2], lambda y: 1.0 - levenshtein(CAST(x AS VARCHAR), CAST(y AS VARCHAR))::DOUBLE / greatest(length(CAST(x AS VARCHAR)), length(CAST(y AS VARCHAR))))))) AS edit FROM l)
-SELECT l_orderkey, CAST(len(list_intersect(a, b)) AS DOUBLE) AS shared, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END AS equal, CASE WHEN list_has_any(a, b) THEN 1.0::DOUBLE ELSE 0 END AS any_equal, CASE WHEN near > 0.1 THEN round(near, 9) ELSE 0 END AS near, CASE WHEN edit > 0.3 THEN round(edit, 9) ELSE 0 END AS edit FROM g""",
+g AS (SELECT *, exp(-pow((list_avg(a) - list_avg(b)) / 50.0, 2)) AS near, list_max(flatten(list_transform(a, lambda x: list_transform(b, lambda y: 1.0 - levenshtein(CAST(x AS VARCHAR), CAST(y AS VARCHAR))::DOUBLE / greatest(length(CAST(x AS VARCHAR)), length(CAST(y AS VARCHAR))))))) AS edit,
+list_max(flatten(list_transform(a, lambda x: list_transform(b, lambda y: (x * y + 100.0) / (sqrt(x * x + 100.0) * sqrt(y * y + 100.0)))))) AS angle FROM l)
+SELECT l_orderkey, CAST(len(list_intersect(a, b)) AS DOUBLE) AS shared, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END AS equal, CASE WHEN list_has_any(a, b) THEN 1.0::DOUBLE ELSE 0 END AS any_equal, CASE WHEN near > 0.1 THEN round(near, 9) ELSE 0 END AS near, CASE WHEN edit > 0.3 THEN round(edit, 9) ELSE 0 END AS edit, CASE WHEN angle > 0.5 THEN round(angle, 9) ELSE 0 END AS angle FROM g""",
+    "edges_mixed": f"WITH {_MIXED} SELECT src, dst, round(c, 9) AS capacity FROM m",
+    "edges_single_factor": f"WITH {_NEAR} SELECT a.id AS src, b.id AS dst, round(exp(-pow(a.x - b.x, 2)), 9) AS capacity FROM s a JOIN s b ON a.id < b.id AND exp(-pow(a.x - b.x, 2)) > 0.5",
+    "components_gaussian": "WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_acctbal / 4 AS x FROM customer WHERE c_acctbal IS NOT NULL), g AS (SELECT *, CASE WHEN exp(-pow(x - lag(x) OVER w, 2)) > 0.5 THEN 0 ELSE 1 END AS s FROM c WINDOW w AS (ORDER BY x, id)), k AS (SELECT *, sum(s) OVER (ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT id, min(id) OVER (PARTITION BY k) AS root FROM k",
+    "components_levenshtein": "WITH RECURSIVE p AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS v FROM part), n AS (SELECT v, min(id) AS id, count(*) AS c FROM p GROUP BY v), g AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id AND 1.0 - levenshtein(a.v, b.v)::DOUBLE / greatest(length(a.v), length(b.v)) > 0.6 + 1e-12), cc(v, lab) USING KEY (v) AS (SELECT id, id FROM n UNION SELECT g.b, min(cc.lab) FROM cc JOIN g ON g.a = cc.v JOIN recurring.cc AS old ON old.v = g.b WHERE cc.lab < old.lab GROUP BY g.b) SELECT lab AS root, CAST(sum(c) AS BIGINT) AS n_records FROM cc JOIN n ON n.id = cc.v GROUP BY lab",
+    "point_scores_mixed": f"WITH {_MIXED}, e AS (SELECT src, dst, c FROM m UNION ALL SELECT dst, src, c FROM m), t AS (SELECT CASE WHEN s_acctbal < 0 THEN 'debt' ELSE 'credit' END AS set, CAST(s_suppkey AS VARCHAR) AS id FROM supplier), q AS (SELECT id FROM t WHERE CAST(id AS BIGINT) % 50 = 0), k AS (SELECT q.id, t.set, max(c) AS c FROM q JOIN e ON e.src = q.id JOIN t ON t.id = e.dst GROUP BY ALL) SELECT q.id, n.set, round(coalesce(k.c, 0), 9) AS score FROM q CROSS JOIN (SELECT DISTINCT set FROM t) n LEFT JOIN k ON k.id = q.id AND k.set = n.set",
+    "read_tsv_records": "SELECT CAST(p_partkey AS VARCHAR) AS id, list_sort([p_brand, p_type]) AS kinds, CAST(p_size AS BIGINT) AS size, 1 AS n_sizes, p_size / 100 AS weight FROM part",
+    "read_manifests": "SELECT CAST(l_orderkey AS VARCHAR) AS id, list_sort(list(DISTINCT CAST(l_suppkey AS VARCHAR))) AS speaker, sum(l_quantity) AS duration, round(sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem), 12) AS fraction FROM lineitem GROUP BY l_orderkey",
+    "vns_check": _CHECKED,
+    "min_node_cut_check": _CHECKED,
+    "spectral_check": _CHECKED,
+    "score_reductions": _reduced("CAST(l_orderkey AS VARCHAR)"),
+    "score_component_reductions": _reduced("CAST(o_custkey AS VARCHAR)"),
     "graph_is_complete": f"WITH c AS ({_SUPP_COMP}) SELECT CAST(sum(c) AS BIGINT) AS n_records, CAST(sum(c * (c - 1) // 2) AS BIGINT) AS n_pairs, sum(c * (c - 1) // 2) = sum(c) * (sum(c) - 1) // 2 AS is_complete FROM c",
     "graph_components": f"WITH RECURSIVE {_INTERVIEWS}, r AS (SELECT lab, row_number() OVER (ORDER BY lab) - 1 AS k FROM (SELECT DISTINCT lab FROM cc)) SELECT v AS id, lab AS root, k AS component_id FROM cc JOIN r USING (lab)",
     "component_sizes": f"WITH RECURSIVE {_INTERVIEWS} SELECT c AS n_records, count(*) AS n_components FROM (SELECT count(*) AS c FROM cc GROUP BY lab) GROUP BY c",
