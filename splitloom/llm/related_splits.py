@@ -25,10 +25,9 @@ def hash_to_min(edges: DataFrame, ws: Workspace | None = None, max_rounds: int =
     """
     ws = ws or Workspace(edges.sparkSession, "hashtomin")
     edges = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    pairs = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"))
-    pairs = pairs.union(pairs.select("u", "v"))
-    own = pairs.select("v", F.col("v").alias("u"))
-    cur = ws.write(pairs.union(own).distinct())
+    # both directions of an edge and both of its ends, from one pass over the edges
+    ends = [F.struct(F.col(v).alias("v"), F.col(u).alias("u")) for v in ("src", "dst") for u in ("src", "dst")]
+    cur = ws.write(edges.select(F.explode(F.array(*ends)).alias("p")).select("p.v", "p.u").distinct())
     for _ in range(max_rounds):
         # nothing changes any more when every cluster is a single vertex or that of its own minimum
         open_ = F.count_if((F.col("v") != F.col("m")) & (F.col("n") > 1))
