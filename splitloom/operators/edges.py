@@ -113,7 +113,7 @@ def equal_value_classes(ds: SplitDataset, field: str) -> DataFrame:
     return rows.join(sizes, "k").select("id", "class_id", "n_links")
 
 
-def gaussian_edges(points: DataFrame, thresh: float, max_in_band: int = 100_000) -> DataFrame:
+def gaussian_edges(points: DataFrame, thresh: float) -> DataFrame:
     """``(src, dst, capacity)`` for ``points(id, x)``: pairs with exp(-(x-y)^2) above ``thresh``, 0 < thresh < 1.
 
     exp(-d^2) > t is |d| < sqrt(-ln t): points fall into bands of that width and meet those of the same and the next band only. Points with

@@ -7,7 +7,7 @@ then come exactly from the weighted values; per key only running sums are shuffl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitloom.functions.ids import spelled_number, spelled_numbers
@@ -27,6 +27,15 @@ def key_counts(freq: DataFrame, keys: list[str], value: str) -> DataFrame:
     return freq.groupBy(*keys).agg(F.sum("weight").alias("n_rows"), F.count(value).alias("n_values"), top.alias("_top")).select(*keys, "n_rows", "n_values", F.col("_top.value").alias("mode"), F.when(F.col("_top.value").isNotNull(), F.col("_top.n")).alias("mode_rows"))
 
 
+def cuts_below(v: Column, cuts: list[float]) -> Column:
+    """How many of the sorted ``cuts`` are below ``v``, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    bounds = F.lit(cuts)
+    steps = F.lit([1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.element_at(bounds, F.least(at + step, F.lit(len(cuts)))) < v), at + step).otherwise(at))
+
+
 def weighted_percentiles(freq: DataFrame, keys: list[str], value: str, shares: list[float], blocks: int = 1024) -> DataFrame:
     """Exact lower percentiles (the smallest value whose cumulated weight reaches share x total) per key.
 
@@ -38,10 +47,7 @@ def weighted_percentiles(freq: DataFrame, keys: list[str], value: str, shares: l
     rows = freq.where(F.col(value).isNotNull())
     cuts = rows.stat.approxQuantile(value, [i / blocks for i in range(1, blocks)], 1 / (4 * blocks))
     cuts = sorted(set(cuts))
-    bounds = F.lit(cuts) if cuts else F.array().cast("array<double>")
-    v = F.col(value).cast("double")
-    # width_bucket over explicit bounds: number of cuts below the value
-    rows = rows.withColumn("_block", F.size(F.filter(bounds, lambda b: b < v)))
+    rows = rows.withColumn("_block", cuts_below(F.col(value).cast("double"), cuts))
     totals = rows.groupBy(*keys, "_block").agg(F.sum("weight").alias("_w"))
     w = Window.partitionBy(*keys).orderBy("_block")
     totals = totals.withColumn("_upto", F.sum("_w").over(w)).withColumn("_all", F.sum("_w").over(Window.partitionBy(*keys)))

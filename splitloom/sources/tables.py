@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitloom.config import TYPES, SplitConfig
-from splitloom.operators.dataset import Relation, SplitDataset
+from splitloom.operators.dataset import Relation, SplitDataset, dense_index
+from splitloom.workspace import Workspace
 
 
 def multi_value(cell, kind: str):
@@ -111,14 +112,15 @@ def write_config(conf: SplitConfig, path: str) -> None:
 
 
 def write_gml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A graph as GML text, streamed to one file on the driver's file system; nodes are numbered in id order."""
+    """A graph as GML text, streamed to one file on the driver's file system; nodes are numbered in id order, edges of unknown nodes left out."""
+    ws = Workspace(nodes.sparkSession, "gml")
+    numbered = ws.write(dense_index(nodes.select("id").distinct(), ["id"], "index", ws))
+    ends = edges.join(numbered.toDF("src", "source"), "src").join(numbered.toDF("dst", "target"), "dst").select("source", "target", "capacity")
     with Path(path).open("w") as out:
         out.write("graph [\n")
-        number = {}
-        for i, r in enumerate(nodes.select("id").distinct().orderBy("id").toLocalIterator()):
-            number[r["id"]] = i
+        for r in numbered.orderBy("index").toLocalIterator():
             label = str(r["id"]).replace("&", "&amp;").replace('"', "&quot;")
-            out.write(f'  node [\n    id {i}\n    label "{label}"\n  ]\n')
-        for r in edges.orderBy("src", "dst").toLocalIterator():
-            out.write(f"  edge [\n    source {number[r['src']]}\n    target {number[r['dst']]}\n    capacity {r['capacity']}\n  ]\n")
+            out.write(f'  node [\n    id {r["index"]}\n    label "{label}"\n  ]\n')
+        for r in ends.orderBy("source", "target").toLocalIterator():
+            out.write(f"  edge [\n    source {r['source']}\n    target {r['target']}\n    capacity {r['capacity']}\n  ]\n")
         out.write("]\n")

@@ -2,11 +2,13 @@
 
 Iterative operators cut their lineage by writing a table and reading it back, so a lost executor costs a
 re-read and nothing else. The folder is the one the session names in ``spark.checkpoint.dir``; a local
-session that names none gets a temporary folder of its own.
+session that names none gets a temporary folder of its own, deleted at the end.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _own_dirs:
         _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="splitloom-")
+        atexit.register(shutil.rmtree, _own_dirs[sc.applicationId], ignore_errors=True)
     return _own_dirs[sc.applicationId]
 
 

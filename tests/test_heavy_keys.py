@@ -69,3 +69,14 @@ def test_key_counts_of_nulls(spark):
     df = spark.createDataFrame([("a", None), ("a", None), ("b", 2), ("b", 1)], "k string, v long")
     got = {r["k"]: tuple(r)[1:] for r in key_counts(weighted_values(df, ["k"], "v"), ["k"], "v").collect()}
     assert got == {"a": (2, 0, None, None), "b": (2, 2, 1, 1)}
+
+
+def test_cuts_below(spark):
+    from bisect import bisect_left
+
+    from splitloom.operators.heavy_keys import cuts_below
+
+    for n in (0, 1, 2, 3, 7, 8, 1023):
+        cuts = [i * 0.5 for i in range(n)]
+        df = spark.createDataFrame([(x * 0.25 - 1,) for x in range(40)] + [(1e9,)], "v double")
+        assert all(r["c"] == bisect_left(cuts, r["v"]) for r in df.withColumn("c", cuts_below(df["v"], cuts)).collect())
