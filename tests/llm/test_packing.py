@@ -6,7 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from splitloom.llm.token_packing import count_tokens, pack, pack_documents, pack_vectors, split_long, token_counts
+from pyspark.sql import functions as F
+
+from splitloom.llm.token_packing import count_tokens, pack, pack_documents, pack_examples, pack_vectors, packing_check, split_long, token_counts
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 DOCS = "doc_id long, text string"
@@ -79,3 +81,40 @@ def test_groups_bound_the_work_of_a_task(spark):
     out = pack(items, {"size": 20}, group_items=50)
     assert out.count() == 500 and out.groupBy("container_id").sum("size").where("`sum(size)` > 20").count() == 0
     assert count_tokens(spark.createDataFrame([(1, None)], DOCS)).count() == 0
+
+
+def test_instruction_examples_keep_three_limits(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("w" for _ in range(n))
+    rows = [(i, words(rng.randrange(0, 60)) or None, words(rng.randrange(0, 90))) for i in range(400)]
+    # above one limit or both, without answer, without prompt, empty, and a repeated one
+    rows += [(900, words(500), words(10)), (901, words(3), words(450)), (902, words(20), None), (903, None, words(7)), (904, "", None), (905, words(2), words(2)), (905, words(2), words(2))]
+    df = spark.createDataFrame(rows, "doc_id long, prompt string, answer string").selectExpr("*", "1 AS n_tokens", "2 AS container_id")
+    limits = {"n_tokens": 128, "segments": 4, "loss_tokens": 64}
+    out = pack_examples(df, 128, 4, 64)
+    got = out.collect()
+    count = lambda t: len((t or "").split())
+    for c in {r["container_id"] for r in got}:
+        mine = [r for r in got if r["container_id"] == c]
+        assert sum(r["n_tokens"] for r in mine) <= 128 and len(mine) <= 4 and sum(r["loss_tokens"] for r in mine) <= 64
+    for i, prompt, answer in rows:
+        mine = [r for r in got if r["doc_id"] == i]
+        copies = sum(x[0] == i for x in rows)
+        whole = count(prompt) + count(answer)
+        assert sum(r["n_tokens"] for r in mine) == copies * whole and sum(r["loss_tokens"] for r in mine) == copies * count(answer)
+        assert len(mine) == (0 if not whole else copies if whole <= 128 and count(answer) <= 64 else -(-whole // 64))
+    assert tuple(packing_check(out, limits, 0.85).first()) == (sum(r["n_tokens"] for r in got), True, True, True)
+    # the check sees what is wrong
+    one = out.limit(1).cache()
+    assert not packing_check(out.unionByName(out.where("doc_id = 900 AND piece = 1")), limits, 0.1).first()["pieces_in_order"]
+    assert not packing_check(out.withColumn("container_id", F.lit(1).cast("bigint")), limits, 0.1).first()["within_limits"]
+    assert not packing_check(out.withColumn("container_id", F.monotonically_increasing_id()), limits, 0.9).first()["well_filled"]
+    assert tuple(packing_check(one.where("false"), limits, 0.9).first()) == (0, True, True, True)
+    assert pack_examples(df.where("false")).count() == 0
+
+
+def test_copies_of_an_item_are_spread(spark):
+    items = spark.createDataFrame([(1, 3)] * 4000, "doc_id long, n_tokens long")
+    out = pack(items, {"n_tokens": 30}, group_items=500)
+    sizes = [r["count"] for r in out.groupBy(F.shiftright("container_id", 32)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 700 and out.count() == 4000
