@@ -29,6 +29,13 @@ def test_edges_of_a_value_of_many_records_equal_sql(spark, suppliers):
     assert got[0] == got[1] == want[0] > 2_200_000 and abs(got[2] - want[1]) < 1e-3
 
 
+def test_points_beside_a_value_of_many_records_equal_sql(spark, suppliers):
+    d, con = suppliers
+    got = {(r["id"], r["set"]): r["score"] for r in splits.point_scores_mixed(spark, d).collect()}
+    want = {(r[0], r[1]): r[2] for r in con.execute(f"SELECT id, set, score FROM ({splits.SQL['point_scores_mixed']})").fetchall()}
+    assert len(want) == 88 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
 def test_pairs_by_row_and_by_value_are_the_same(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(f"{i:03d}", [rng.choice("pqrs") for _ in range(rng.randrange(4))], [rng.randrange(30) * 0.4 for _ in range(rng.randrange(3))], [rng.choice("xy") for _ in range(rng.randrange(3))]) for i in range(150)]
