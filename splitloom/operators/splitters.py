@@ -204,11 +204,14 @@ def min_node_cut(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
     """Best of 1 + max_iter random minimum node cuts of a connected, incomplete similarity graph; one task per share of the cuts.
 
     Copies (records with equal values) are one vertex that weighs as many records, shared values are vertices that cannot be cut, so
-    the graph has an edge per class and value. It is held in memory: more than MAX_POSTINGS postings are an error.
+    the graph has an edge per class and value. It is held in memory: more than MAX_POSTINGS edges are an error. Records stay in tables and
+    take the sides of their classes, so there may be any number of them; all cuts are scored in one job.
     """
-    spark = ds.records.sparkSession
-    k = kn.load_kernel(ds, conf.specs, conf.constraint_weights)
+    spark, ws = ds.records.sparkSession, Workspace(ds.records.sparkSession, "cuts")
     member, sizes, hubs = gr.class_graph(ds)
+    hubs = ws.write(hubs)
+    if hubs.count() > kn.MAX_POSTINGS or sizes.count() > kn.MAX_POSTINGS:
+        raise ValueError(f"a graph of more than {kn.MAX_POSTINGS} edges")
     size: dict[str, float] = {r["class_id"]: r["class_size"] for r in sizes.collect()}
     graph = gr.adjacency([(r["class_id"], r["hub"]) for r in hubs.collect()])
     names = sorted(size)
@@ -218,34 +221,37 @@ def min_node_cut(ds: SplitDataset, conf: SplitConfig) -> SplitResult:
         raise ValueError("the graph is not connected: split its components instead")
     if all(len(set().union(*(graph[h] for h in graph[c]))) == len(names) for c in names) or len(names) < 2:
         raise ValueError("the graph is complete: nothing can be held out")
-    number = {c: i for i, c in enumerate(names)}
-    of = {r["id"]: number[r["class_id"]] for r in member.collect()}
-    of = np.array([of[i] for i in k.ids])
     weight = size | {h: np.inf for h in graph if h.startswith(gr.HUB)}
-    sent = spark.sparkContext.broadcast((k, dict(graph), weight, names, of))
+    sent = spark.sparkContext.broadcast((dict(graph), weight, names, np.cumsum([size[c] for c in names])))
     seed, n = conf.seed, 1 + (200 if conf.max_iter is None else conf.max_iter)
 
     def cuts(batches):
-        kern, g, w, classes_, class_of = sent.value
+        g, w, classes_, upto = sent.value
         for pdf in batches:
             rows = []
             for it in pdf["id"]:
                 rng = np.random.default_rng([seed, int(it)])
                 while True:
-                    s, t = (classes_[class_of[int(x)]] for x in rng.integers(len(class_of), size=2))
+                    # the classes of two records
+                    s, t = (classes_[int(x)] for x in np.searchsorted(upto, rng.integers(upto[-1], size=2), "right"))
                     if s != t and not g[s] & g[t]:
                         break
                 train, held = gr.cut_sides(g, gr.minimum_node_cut(g, s, t, w), rng.shuffle)
-                side = np.array([0 if c in train else 1 if c in held else -1 for c in classes_])[class_of]
-                rows.append((int(it), *kern.score(side), "".join("01-"[x] for x in side)))
-            yield pd.DataFrame(rows, columns=["iter", "total", "scores", "sides"])
-
-    found = spark.range(n).repartition(min(n, spark.sparkContext.defaultParallelism)).mapInPandas(cuts, "iter int, total double, scores array<double>, sides string")
-    found = Workspace(spark, "cuts").write(found)
-    best = found.orderBy("total", "iter").limit(1).first()
-    side = np.array(["01-".index(c) for c in best["sides"]])
-    history = [(r["iter"], r["total"], None, r["scores"]) for r in found.select("iter", "total", "scores").orderBy("iter").collect()]
-    return _kernel_result(ds, k, np.where(side == 2, -1, side), history, seed, best["total"])
+                rows.append((int(it), "".join("0" if c in train else "1" if c in held else "-" for c in classes_)))
+            yield pd.DataFrame(rows, columns=["iter", "sides"])
+
+    found = ws.write(spark.range(n).repartition(min(n, spark.sparkContext.defaultParallelism)).mapInPandas(cuts, "iter int, sides string"))
+    kind = sizes.schema["class_id"].dataType.simpleString()
+    bit = lambda side: F.bit_or(F.when(F.col("side") == side, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("iter") % cd.BLOCK)).otherwise(F.lit(0).cast("bigint")))
+    packed = found.select("iter", F.posexplode(F.split("sides", "")).alias("at", "side")).groupBy("at", F.expr(f"cast(iter div {cd.BLOCK} AS bigint)").alias("block")).agg(bit("0").alias("train"), bit("1").alias("held"))
+    packed = packed.join(spark.createDataFrame(list(enumerate(names)), f"at int, class_id {kind}"), "at").groupBy("class_id").agg(F.collect_list(F.struct("block", "train", "held")).alias("_b"))
+    sides = join_per_key(member, packed, "class_id", sizes.select("class_id", F.col("class_size").alias("n"))).select("id", F.explode("_b").alias("_b")).select("_b.block", "id", "_b.train", "_b.held")
+    members = cd.PackedSides(ws.write(sides), n)
+    scores = ws.write(constraint_scores(ds, conf.specs, members, spark.range(n).toDF("cand_id"), conf.constraint_weights))
+    best = cd.best_candidate(scores).first()
+    parts = F.array(*[F.col(f"score{i}") for i in range(len(conf.specs))]).cast("array<double>")
+    history = scores.select(F.lit(seed).alias("run"), F.col("cand_id").cast("int").alias("iter"), "total", F.lit(None).cast("string").alias("bits"), parts.alias("scores"))
+    return SplitResult(members.only(best["cand_id"]), history, float(best["total"]))
 
 
 @register("spectral_clustering")
